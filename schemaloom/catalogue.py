@@ -1,0 +1,7 @@
+"""Named queries over the test tables, with the SQL that checks them."""
+
+from __future__ import annotations
+
+QUERIES = {}
+ORACLES = {}
+FLAGSHIP = "rehydrate_events"
