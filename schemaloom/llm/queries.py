@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, simhash, tiff
 from .common import table
 
 
@@ -10,8 +10,18 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_tiff_pages(spark, sf_dir):
+    return tiff.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_tiff_pages": op5_tiff_pages,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES = {
