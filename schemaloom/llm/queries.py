@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash, tiff
+from . import packing, quality_rules, simhash, tiff, token_counts
 from .common import table
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer()))
+
+
 def op5_tiff_pages(spark, sf_dir):
     return tiff.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(), token_counts.cleaning_edits)
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_packing": op2_packing,
     "op5_tiff_pages": op5_tiff_pages,
+    "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
 }
 
