@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, simhash, tiff, token_counts
+from . import mixing, packing, quality_classifier, quality_rules, simhash, tiff, token_counts
 from .common import table
 
 
@@ -21,10 +21,19 @@ def op2_packing(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op4_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.tempered(docs))
+
+
 def op5_tiff_pages(spark, sf_dir):
     return tiff.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer(), token_counts.cleaning_edits)
 
@@ -36,11 +45,14 @@ def op8_simhash(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op4_mixing": op4_mixing,
     "op5_tiff_pages": op5_tiff_pages,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
 }
