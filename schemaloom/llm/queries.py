@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_classifier, quality_rules, simhash, tiff, token_counts
+from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, tiff, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_packing(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
 def op4_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.tempered(docs))
@@ -45,6 +49,7 @@ def op8_simhash(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_tiff_pages": op5_tiff_pages,
     "op6_quality_classifier": op6_quality_classifier,
