@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, tiff, token_counts
+from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tiff, token_counts
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.dedup_passages(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES = {
