@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tiff, token_counts
+from . import katz, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, tiff, token_counts
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.dedup_passages(table(spark, sf_dir, "documents")))
 
 
+def op10_katz(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_packing": op2_packing,
@@ -60,6 +64,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_katz": op10_katz,
 }
 
 ORACLES = {
