@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, partitions
 from .components import connected_components
 
 BITS = 64
+#: Buckets up to this size are compared side by side, larger ones searched.
+SMALL = 16
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -97,11 +99,17 @@ def _bucket_links(bits: int):
         key, fp = key[order], fp[order]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         size = np.diff(np.r_[begin, len(key)])
-        links = []
-        two = begin[size == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-        links.append((fp[near], fp[near + 1]))
-        for s, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        group = np.repeat(np.arange(len(begin)), size)
+        links = [(fp[:0], fp[:0])]
+        small = np.flatnonzero(size[group] <= SMALL)
+        for step in range(1, SMALL):  # small buckets side by side
+            small = small[small + step < len(fp)]
+            small = small[group[small] == group[small + step]]
+            if not len(small):
+                break
+            near = small[np.bitwise_count(fp[small] ^ fp[small + step]) <= bits]
+            links.append((fp[near], fp[near + step]))
+        for s, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
             links += _search(fp[s : s + n], bits)
         a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
@@ -115,10 +123,11 @@ def links(nodes: DataFrame, max_bits: int = 4, segments: int = 3, block: int = 4
     if 2 * segments <= max_bits:
         raise ValueError("a pair could differ by two bits in every segment")
     each = F.array(*(F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in _variants(segments)))
-    variants = nodes.select("fp", F.inline(each)).select("fp", F.xxhash64("bit", "rest").alias("key"))
-    sizes = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = variants.join(sizes, "key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    spread = nodes.repartition(partitions(nodes), "fp")
+    variants = spread.select("fp", F.inline(each)).select("fp", F.xxhash64("bit", "rest").alias("key"))
+    hot = variants.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    members = variants.join(hot, "key", "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
 
     def pair(j: Column) -> Column:
