@@ -33,6 +33,12 @@ def text(v: Column) -> Column:
     return F.to_json(v)
 
 
+def strict_parse(s: Column) -> Column:
+    """The value that a text holds and nothing beside, or NULL. Spark's parser leaves out what follows a first value."""
+    one = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
+    return let(as_array(one), lambda a: F.when(F.size(a) == 1, a[0]))
+
+
 def quoted(s: Column) -> Column:
     """A string as JSON text."""
     return F.to_json(s.cast("variant"))

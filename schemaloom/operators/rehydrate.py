@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -136,7 +137,7 @@ class Undo:
     @staticmethod
     def _parsed(v: Column) -> Column:
         s = J.string(v)
-        inner = F.try_parse_json(s)
+        inner = J.strict_parse(s)
         return F.struct(F.coalesce(inner, v).alias("v"), (s.isNotNull() & inner.isNull()).alias("bad"))
 
     def _with_error(self, got: Column, bad: Column, s: Column, path: str) -> Column:
@@ -493,18 +494,35 @@ def settle(document: Column, codec: Codec | dict | str, original) -> Column:
 
 
 def rehydrate(
-    df: DataFrame, codec: Codec | dict | str, original, column: str = "document", data: str = "data", warnings: str = "warnings", error: str = "error", mode: str = "PERMISSIVE"
+    df: DataFrame, codec: Codec | dict | str, original, column: str = "document", data: str = "data", warnings: str = "warnings", error: str = "error", mode: str = "PERMISSIVE", lenient: bool = True
 ) -> DataFrame:
     """Adds the document in its original shape as JSON text, an array of warnings, and an error or NULL.
 
+    A lenient reading leaves out what follows the first JSON value of a document.
     PERMISSIVE keeps what can't be undone as it is and tells why; FAILFAST stops the job; DROPMALFORMED drops the row.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
-    codec = Codec.of(codec)
+    with _deep_plans(df):
+        return _rehydrate(df, Codec.of(codec), original, column, data, warnings, error, mode, lenient)
+
+
+@contextmanager
+def _deep_plans(df: DataFrame):
+    """Each level of a document is a level of lambdas, which the analyser resolves one after the other."""
+    conf, name = df.sparkSession.conf, "spark.sql.analyzer.maxIterations"
+    before = conf.get(name)
+    conf.set(name, str(max(int(before), 1000)))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
+def _rehydrate(df: DataFrame, codec: Codec, original, column: str, data: str, warnings: str, error: str, mode: str, lenient: bool) -> DataFrame:
     raw = F.col(column)
     bad = F.struct(F.lit("json_parse_error").alias("code"), F.concat(F.lit("the document is not JSON: "), F.left(raw, F.lit(100))).alias("message"), F.lit("/").alias("path"))
-    step = df.withColumn("__v", F.try_parse_json(raw)).withColumn("__u", F.when(F.col("__v").isNotNull(), undo(F.col("__v"), codec)))
+    step = df.withColumn("__v", F.try_parse_json(raw) if lenient else J.strict_parse(raw)).withColumn("__u", F.when(F.col("__v").isNotNull(), undo(F.col("__v"), codec)))
     first = F.when(raw.isNotNull() & F.col("__v").isNull(), bad.cast(J.ERROR)).otherwise(F.get(F.col("__u.e"), F.lit(0)))
     step = step.withColumn(error, first).withColumn("__w", F.try_parse_json(F.col("__u.j")))
     if mode == "FAILFAST":
