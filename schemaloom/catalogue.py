@@ -155,12 +155,10 @@ def recursive_inflate_levels(spark, sf_dir):
 
     none, no_data = F.array().cast("array<string>"), F.lit(None).cast("string")
     deep = F.to_json(level(F.concat("n_name", F.lit("!")), none, F.to_json(F.struct(F.col("n_nationkey").alias("k")))), {"ignoreNullFields": "false"})
-    third = level(F.lit("c"), F.array(deep), no_data)
-    doc = document(result=level(F.col("r_name"), F.array(level(F.col("n_name"), F.array(third), no_data)), no_data))
-    plan = convert(TREE, {"recursion_limit": 3})
-    wrapped = any(t["type"] == "root_object_wrapper" for t in plan.codec.transforms)
-    out = back(df, doc if wrapped else F.get_json_object(doc, "$.result"), plan)
-    below = "$.children[0].children[0].children[0]"
+    second = level(F.col("n_name"), F.array(deep), no_data)
+    doc = document(value=F.col("r_name"), children=F.array(second), data=no_data)
+    out = back(df, doc, convert(TREE, {"recursion_limit": 1}))
+    below = "$.children[0].children[0]"
     return out.select("n_nationkey", at("$.value").alias("top"), at("$.children[0].value").alias("second"), at(f"{below}.value").alias("third"), at(f"{below}.data.k", "bigint").alias("data_deep"))
 
 
@@ -289,10 +287,10 @@ def violations_min(spark, sf_dir):
     return out.filter(F.size("warnings") > 0).select("doc_id", told("minLength").alias("short_text"), told("minItems").alias("few_lines"))
 
 
-@query("""SELECT page_id, url, '/url' AS data_path FROM pages WHERE NOT regexp_matches(url, '^https?://[a-z0-9.-]+/[a-m]')""")
+@query("""SELECT page_id, url, '/url' AS data_path FROM pages WHERE NOT regexp_matches(url, '^https://[a-z0-9.-]+/[a-z]+/[0-9]+$')""")
 def violations_pattern(spark, sf_dir):
     df = table(spark, sf_dir, "pages").select("page_id", "url")
-    plan = convert(obj("url", url={"type": "string", "pattern": "^https?://[a-z0-9.-]+/[a-m]"}), {"target": "claude"})
+    plan = convert(obj("url", url={"type": "string", "pattern": "^https://[a-z0-9.-]+/[a-z]+/[0-9]+$"}), {"target": "claude"})
     out = back(df, document(url=F.col("url")), plan)
     return out.select("page_id", "url", F.explode("warnings").alias("w")).select("page_id", "url", F.col("w.dataPath").alias("data_path"))
 
