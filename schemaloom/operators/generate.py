@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import json_text as J
@@ -53,7 +54,7 @@ def retrying(send: Callable[[Request], str], tries: int = 3, wait: float = 1.0,
 def call(df: DataFrame, transport: Callable[[], Transport], request: str = "request", response: str = "raw_response") -> DataFrame:
     """Adds the responses. A request that fails gives a NULL response; the job goes on."""
     names = df.columns
-    schema = df.schema.add(response, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(response, T.StringType())])
 
     def run(batches):
         send = transport()

@@ -16,8 +16,8 @@ REPORT = f"detailed_results array<{RESULT}>"
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
     """path and text of whole files, by name."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_schemas(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
