@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +21,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where no folder is set, as in tests on one machine, a temporary one is made.
+    Only where none is set, as in tests on one machine, a temporary one is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="schemaloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: compressed, and read by column."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more.
+
+    It drops them when the driver collects its garbage, which a driver with memory to spare may not do for long.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
+#: Bits of a key filter: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A bitmap of hashes of the keys, in at most bits / 32768 rows of 4 KB: small enough to broadcast at any scale."""
+    place = F.pmod(F.xxhash64(F.lit(17), key), F.lit(bits)) + 1
+    found = keys.select(place.alias("p"))
+    return found.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+
+
+def may_hold(df: DataFrame, key: str, table: DataFrame, bits: int = FILTER_BITS, flag: str = "__may") -> DataFrame:
+    """Adds whether a row's key may be among the filter's keys: true for all that are, and for a few others.
+
+    It spares a shuffle most of the rows that would find no partner; a full filter spares nothing and loses nothing.
+    """
+    place = F.pmod(F.xxhash64(F.lit(17), key), F.lit(bits)) + 1
+    at = F.bitmap_bit_position("__p")
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))
+    joined = df.withColumn("__p", place).withColumn("__b", F.bitmap_bucket_number("__p")).join(F.broadcast(table), F.col("__b") == F.col("__bucket"), "left")
+    return joined.withColumn(flag, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("__p", "__b", "__bucket", "__bits")
+
+
 def partitions(df: DataFrame) -> int:
     """Number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -24,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpointed
+from .common import SPACES, key_filter, may_hold, stored
 
 MIN_CHARS = 20
-#: Blocks of a line by round of narrowing; then windows are 1/256 of a line, or at most SHORT code points.
-ROUNDS = (2, 8, 8, 4)
+#: Blocks of a line by round of narrowing, after its halves; then windows are 1/256 of a line, or short.
+ROUNDS = (8, 8, 4)
 SHORT = 24
 FIRST_ID = -(1 << 63)
 
@@ -81,7 +81,7 @@ def near_lines(candidates: DataFrame, rounds: tuple[int, ...]) -> DataFrame:
     """
     rows = candidates.select(F.lit(0).cast("long").alias("key"), F.col("line").alias("window"), "h", "occ")
     for blocks in rounds:
-        rows = checkpointed(_shared(rows.select("h", "occ", F.inline(_blocks(F.col("key"), F.col("window"), blocks)))))
+        rows = stored(_shared(rows.select("h", "occ", F.inline(_blocks(F.col("key"), F.col("window"), blocks)))))
     size = F.char_length("window")
     rows = rows.dropDuplicates(["key", "h", "window"])
 
@@ -106,32 +106,58 @@ def near_lines(candidates: DataFrame, rounds: tuple[int, ...]) -> DataFrame:
     return pairs.filter(F.levenshtein("a", "b", 1) >= 0).select("h", F.col("wh").alias("earlier_h"), F.col("b").alias("earlier"))
 
 
+def _halves(line: Column, n: Column) -> Column:
+    """Keys of a line's halves: for its own length and the length one less, the first and the last of two blocks."""
+
+    def of(m: Column) -> list[Column]:
+        block = F.floor(m / 2).cast("int") + 1
+        after = F.greatest(m - block, F.lit(0))
+        return [F.xxhash64(m, F.lit(0), F.substr(line, n - after + 1, after)), F.xxhash64(m, F.lit(1), F.substr(line, F.lit(1), block))]
+
+    return F.array(*of(n), *of(n - 1))
+
+
 def removed_lines(rows: DataFrame, min_chars: int = MIN_CHARS, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
-    """occ (d, t, pos) of all lines that go, from rows (d, t, text)."""
+    """occ (d, t, pos) of all lines that go, from rows (d, t, text).
+
+    Hashes of all lines are written once; texts are read again only for lines that share half with another.
+    """
     lines = _lines(rows, min_chars)
-    # The first narrowing sends hashes only; texts follow for the lines that share a key with another.
-    window = F.col("line")
-    slim = lines.select("h", F.inline(F.transform(_blocks(F.lit(0).cast("long"), window, rounds[0], 0), lambda b: F.struct(b["key"].alias("key")))))
-    some = _shared(slim).select("h").distinct()
+    sized = lines.withColumn("n", F.char_length("line"))
+    slim = stored(sized.select("occ", "h", "h2", _halves(F.col("line"), F.col("n")).alias("keys")))
+    heads = slim.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
+    halves = heads.select("h", F.explode("keys").alias("key"))
+    shared = stored(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"))
+    likely = may_hold(halves, "key", key_filter(shared, "key")).filter("__may")
+    some = stored(likely.join(shared, "key", "left_semi").select("h").distinct())
+    texts = may_hold(lines, "h", key_filter(some, "h")).filter("__may").select("h", "h2", "occ", "line")
     first = F.min(F.struct("occ", "line")).alias("f")
-    candidates = lines.join(some, "h", "left_semi").groupBy("h", "h2").agg(first).select("h", F.col("f.line").alias("line"), F.col("f.occ").alias("occ"))
-    near = near_lines(checkpointed(candidates), rounds).select("h").withColumn("near", F.lit(True))
-    heads = lines.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n")).join(near, "h", "left")
-    heads = heads.filter("n > 1 or near").select("h", "h2", "first", "near")
-    return lines.select("occ", "h", "h2").join(heads, ["h", "h2"]).filter("near or occ > first").select("occ.d", "occ.t", "occ.pos").distinct()
+    candidates = texts.join(some, "h", "left_semi").groupBy("h", "h2").agg(first).select("h", F.col("f.line").alias("line"), F.col("f.occ").alias("occ"))
+    near = stored(near_lines(stored(candidates), rounds).select("h")).withColumn("near", F.lit(True))
+    heads = slim.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n")).join(near, "h", "left")
+    heads = stored(heads.filter("n > 1 or near").select("h", "h2", "first", "near"))
+    hit = may_hold(slim.select("occ", "h", "h2"), "h", key_filter(heads, "h")).filter("__may").drop("__may")
+    return hit.join(heads, ["h", "h2"]).filter("near or occ > first").select("occ.d", "occ.t", "occ.pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, rounds: tuple[int, ...] = ROUNDS, removed: str | None = None) -> DataFrame:
     """The columns of docs, with the text without the lines that go; `removed` names a column for their number."""
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_keyed(docs, doc_id, text))
     gone = removed_lines(keyed.select("d", "t", F.col(f"row.`{text}`").alias("text")), min_chars, rounds)
-    gone = gone.groupBy("d", "t").agg(F.collect_list("pos").alias("gone"))  # at most the lines of one document
-    joined = keyed.join(gone, ["d", "t"], "left")
+    # At most the lines of one document come together.
+    gone = stored(gone.groupBy("d", "t").agg(F.collect_list("pos").alias("gone")).withColumn("k", F.xxhash64("d", "t")))
+    marked = may_hold(keyed.withColumn("k", F.xxhash64("d", "t")), "k", key_filter(gone, "k"))
+    columns = [c for c in docs.columns if c != removed]
 
     def rest(old: Column) -> Column:
         kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains("gone", i))
         return F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
 
-    out = [rest(F.col(f"row.`{c}`")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != removed]
-    number = [F.coalesce(F.size("gone"), F.lit(0)).alias(removed)] if removed else []
-    return joined.select(*out, *number)
+    def out(df: DataFrame, value: Column, number: Column) -> DataFrame:
+        given = [value.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns]
+        return df.select(*given, *([number.cast("int").alias(removed)] if removed else []))
+
+    old = F.col(f"row.`{text}`")
+    touched = marked.filter("__may").join(gone.drop("k"), ["d", "t"], "left")
+    changed = out(touched, rest(old), F.coalesce(F.size("gone"), F.lit(0)))
+    return changed.union(out(marked.filter("not __may"), old, F.lit(0)))
