@@ -65,7 +65,8 @@ def _blocks(key: Column, window: Column, blocks: int, short: int = SHORT) -> Col
 
     some = F.array_distinct(F.concat(F.when(size > 0, of(size)).otherwise(F.array()), F.when(size > 1, of(size - 1)).otherwise(F.array())))
     whole = F.array(F.struct(key.alias("key"), window.alias("window")))
-    return F.when(size <= short, whole).otherwise(some)
+    # A short window goes on as it is; one that is longer by one may belong to either kind of pair.
+    return F.when(size <= short, whole).when(size == short + 1, F.concat(whole, some)).otherwise(some)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
