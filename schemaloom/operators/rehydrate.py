@@ -161,13 +161,16 @@ class Undo:
         spread = [t["propertyName"] for t in node.own if t["type"] == "extract_additional_properties"]
         if node.bare and not mapped and not spread:
             return leaf
-        out = None
-        if node.members or node.patterns or spread:
-            out = F.when(J.as_map(v).isNotNull(), J.let(F.map_entries(J.as_map(v)), lambda m: self._object(node, m, spread, path)))
-        if mapped or node.items or node.places:
-            array = J.let(J.as_array(v), lambda a: self._map(node, a, path) if mapped else self._array(node, a, path))
-            out = F.when(J.as_array(v).isNotNull(), array) if out is None else out.when(J.as_array(v).isNotNull(), array)
-        return out.otherwise(leaf) if out is not None else leaf
+        objects = bool(node.members or node.patterns or spread)
+        arrays = bool(mapped or node.items or node.places)
+
+        def of_array(a: Column) -> Column:
+            return F.when(a.isNull(), leaf).otherwise(self._map(node, a, path) if mapped else self._array(node, a, path))
+
+        other = J.let(J.as_array(v), of_array) if arrays else leaf
+        if not objects:
+            return other
+        return J.let(J.as_map(v), lambda m: F.when(m.isNull(), other).otherwise(J.let(F.map_entries(m), lambda e: self._object(node, e, spread, path))))
 
     def _member(self, node: Node, k: Column, v: Column, path: str) -> Column:
         """What becomes of a member: by its name, else by the first pattern that its name matches."""
@@ -294,46 +297,46 @@ class Settle:
         if not node.own and node.bare and not schema.keys() & {"type", "properties", "items", "prefixItems", "anyOf", "oneOf"}:
             nothing = J.none_of(J.WARNING)
             return self.result(J.text(v), nothing, nothing, nothing)
-        return J.let(self._coerced(v, kinds, path), lambda s: self._typed(node, schema, s["v"], s["a"], path))
+        return J.let(J.let(J.kind(v), lambda k: self._coerced(v, k, kinds, path)), lambda s: self._typed(node, schema, s, path))
 
-    def _coerced(self, v: Column, kinds: list[str], path: Column) -> Column:
-        """v of one of the kinds if it can be, and warnings."""
+    def _coerced(self, v: Column, kind: Column, kinds: list[str], path: Column) -> Column:
+        """v of one of the kinds if it can be, its kind, and warnings."""
         nothing = J.none_of(J.WARNING)
-        same = F.struct(v.alias("v"), nothing.alias("a"))
+        same = F.struct(v.alias("v"), kind.alias("k"), nothing.alias("a"))
         if not set(kinds) & {"string", "integer", "number", "boolean"}:
             return same
 
-        def made(value: Column, message: Column) -> Column:
-            return F.struct(value.cast("variant").alias("v"), F.array(warning(path, path, "type", message)).cast(f"array<{J.WARNING}>").alias("a"))
+        def made(to: str, value: Column, message: Column) -> Column:
+            return F.struct(value.cast("variant").alias("v"), F.lit(to).alias("k"), F.array(warning(path, path, "type", message)).cast(f"array<{J.WARNING}>").alias("a"))
 
-        def choose(kind: Column) -> Column:
-            s, shown = J.string(v), J.text(v)
+        def choose(s: Column) -> Column:
+            shown = J.text(v)
             d = F.try_variant_get(v, "$", "double")
             fits = kind.isin(*kinds) | ((kind == "integer") & F.lit("number" in kinds))
             out = F.when(kind.isin("object", "array", "null") | fits, same)
             for k in kinds:
                 if k == "string":
                     number = F.when(kind == "number", J.number_text(d)).otherwise(shown)
-                    out = out.when(kind.isin("integer", "number"), made(number, F.concat(F.lit("coerced number "), number, F.lit(' to string "'), number, F.lit('"'))))
-                    out = out.when(kind == "boolean", made(shown, F.concat(F.lit("coerced boolean "), shown, F.lit(' to string "'), shown, F.lit('"'))))
+                    out = out.when(kind.isin("integer", "number"), made(k, number, F.concat(F.lit("coerced number "), number, F.lit(' to string "'), number, F.lit('"'))))
+                    out = out.when(kind == "boolean", made(k, shown, F.concat(F.lit("coerced boolean "), shown, F.lit(' to string "'), shown, F.lit('"'))))
                 elif k == "integer":
                     n = F.try_variant_get(v, "$", "bigint")
-                    out = out.when((kind == "string") & s.rlike("^(0|-?[1-9][0-9]*)$") & n.isNotNull(), made(n, F.concat(F.lit('coerced string "'), s, F.lit('" to integer '), s)))
+                    out = out.when((kind == "string") & s.rlike("^(0|-?[1-9][0-9]*)$") & n.isNotNull(), made(k, n, F.concat(F.lit('coerced string "'), s, F.lit('" to integer '), s)))
                 elif k == "number":
                     grammar = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
                     n = s.try_cast("double")
                     good = (kind == "string") & s.rlike(grammar) & n.isNotNull() & (F.abs(n) < float("inf"))
-                    out = out.when(good, made(n, F.concat(F.lit('coerced string "'), s, F.lit('" to number '), J.short_number(n))))
+                    out = out.when(good, made(k, n, F.concat(F.lit('coerced string "'), s, F.lit('" to number '), J.short_number(n))))
                 elif k == "boolean":
-                    out = out.when((kind == "string") & s.isin("true", "false"), made(s == "true", F.concat(F.lit('coerced string "'), s, F.lit('" to boolean '), s)))
+                    out = out.when((kind == "string") & s.isin("true", "false"), made(k, s == "true", F.concat(F.lit('coerced string "'), s, F.lit('" to boolean '), s)))
             return out.otherwise(same)
 
-        return J.let(J.kind(v), choose)
+        return F.when(kind.isin("object", "array", "null"), same).otherwise(J.let(F.when(kind == "string", F.try_variant_get(v, "$", "string")), choose))
 
-    def _typed(self, node: Node, schema: dict, v: Column, a: Column, path: Column) -> Column:
+    def _typed(self, node: Node, schema: dict, s: Column, path: Column) -> Column:
         unions = [(w, u) for w in ("anyOf", "oneOf") if isinstance(u := schema.get(w), list)]
         if not unions:
-            return self._bounded(node, schema, v, a, path)
+            return self._bounded(node, schema, s, path)
         plain = {k: x for k, x in schema.items() if k not in ("anyOf", "oneOf")}
         out = None
         for _, variants in unions[:1]:
@@ -343,71 +346,74 @@ class Settle:
                 kinds = [k for k in kinds if isinstance(k, str)]
                 if not kinds:
                     continue
-                hit = J.kind(v).isin(*kinds, *(["integer"] if "number" in kinds else []))
+                hit = s["k"].isin(*kinds, *(["integer"] if "number" in kinds else []))
                 one = {**plain, **variant, "properties": {**plain.get("properties", {}), **variant.get("properties", {})}} if plain.get("properties") else {**plain, **variant}
                 more = {k: x for k, x in one.items() if k != "type"}
-                got = self._typed(node, more, v, a, path) if isinstance(one.get("anyOf") or one.get("oneOf"), list) else self._bounded(node, more, v, a, path)
+                got = self._typed(node, more, s, path) if isinstance(one.get("anyOf") or one.get("oneOf"), list) else self._bounded(node, more, s, path)
                 out = F.when(hit, got) if out is None else out.when(hit, got)
-        rest = self._bounded(node, plain, v, a, path)
+        rest = self._bounded(node, plain, s, path)
         return rest if out is None else out.otherwise(rest)
 
-    def _bounded(self, node: Node, schema: dict, v: Column, a: Column, path: Column) -> Column:
+    def _bounded(self, node: Node, schema: dict, given: Column, path: Column) -> Column:
         """Bounds enforced at this value, in the codec's order, then what is inside, then the checks of this value."""
-        state = F.struct(v.alias("v"), J.none_of(J.WARNING).alias("b"))
-        for d in (d for d in node.own if d["constraint"] in ENFORCED):
-            state = J.let(state, lambda s, d=d: self._enforced(s, d, path))
+        bounds = [d for d in node.own if d["constraint"] in ENFORCED]
 
         def checked(s: Column) -> Column:
-            own = [self._check(s["v"], d, path) for d in node.own]
-            checks = F.filter(F.array(*own), lambda w: w.isNotNull()).cast(f"array<{J.WARNING}>") if own else J.none_of(J.WARNING)
-            return J.let(self._inside(node, schema, s["v"], path), lambda r: self.result(r["j"], F.concat(a, r["a"]), F.concat(s["b"], r["b"]), F.concat(checks, r["c"])))
-
+            inside = self._inside(node, schema, s["v"], s["k"], path)
+            if not node.own:
+                return J.let(inside, lambda r: self.result(r["j"], F.concat(given["a"], r["a"]), r["b"], r["c"]))
+            checks = F.filter(F.array(*(self._check(s["v"], s["k"], d, path) for d in node.own)), lambda w: w.isNotNull()).cast(f"array<{J.WARNING}>")
+            return J.let(inside, lambda r: self.result(r["j"], F.concat(given["a"], r["a"]), F.concat(s["b"], r["b"]), F.concat(checks, r["c"])))
+
+        if not bounds:
+            return checked(given) if not node.own else J.let(F.struct(given["v"].alias("v"), given["k"].alias("k"), J.none_of(J.WARNING).alias("b")), checked)
+        state = F.struct(given["v"].alias("v"), given["k"].alias("k"), J.none_of(J.WARNING).alias("b"))
+        for d in bounds:
+            state = J.let(state, lambda s, d=d: self._enforced(s, d, path))
         return J.let(state, checked)
 
     def _enforced(self, s: Column, d: dict, path: Column) -> Column:
-        v, word, bound = s["v"], d["constraint"], d["value"]
+        v, k, word, bound = s["v"], s["k"], d["constraint"], d["value"]
         told = lambda m: F.array_append(s["b"], warning(path, d["path"], word, m).cast(J.WARNING))
         if word in ("maxLength", "maxItems"):
             if not _count(bound):
                 return s
-            text, items = J.string(v), J.as_array(v)
+            text, items = F.when(k == "string", F.try_variant_get(v, "$", "string")), F.when(k == "array", J.as_array(v))
             size = F.char_length(text) if word == "maxLength" else F.size(items)
             cut = F.left(text, F.lit(bound)).cast("variant") if word == "maxLength" else F.try_parse_json(J.array_text(F.transform(F.slice(items, 1, bound), lambda x: F.struct(J.text(x).alias("j")))))
             what = "string" if word == "maxLength" else "array"
             over = (text if word == "maxLength" else items).isNotNull() & (size > bound)
             message = F.concat(F.lit(f"{what} length "), size.cast("string"), F.lit(f" exceeded {word} {bound}; truncated"))
-            return F.when(over, F.struct(cut.alias("v"), told(message).alias("b"))).otherwise(s)
+            return F.when(over, F.struct(cut.alias("v"), k.alias("k"), told(message).alias("b"))).otherwise(s)
         if not _number(bound):
             return s
-        d_value = F.when(J.kind(v).isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+        d_value = F.when(k.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
         limit, shown = F.lit(float(bound)), J.short_number(F.lit(float(bound)))
         step = {"exclusiveMinimum": 1, "exclusiveMaximum": -1}.get(word, 0)
         over = {"minimum": d_value < limit, "maximum": d_value > limit, "exclusiveMinimum": d_value <= limit, "exclusiveMaximum": d_value >= limit}[word]
         if _long(bound) and _long(bound + step):
-            to = F.lit(bound + step).cast("bigint").cast("variant")
+            to, kind = F.lit(bound + step).cast("bigint").cast("variant"), "integer"
         else:
-            to = F.lit(float(bound) + step * EPSILON).cast("double").cast("variant")
+            to, kind = F.lit(float(bound) + step * EPSILON).cast("double").cast("variant"), "number"
         says = {"minimum": "below minimum", "maximum": "exceeded maximum", "exclusiveMinimum": "not greater than exclusive minimum", "exclusiveMaximum": "not less than exclusive maximum"}[word]
         message = F.concat(F.lit("value "), J.short_number(d_value), F.lit(f" {says} "), shown, F.lit("; clamped"))
-        return F.when(over, F.struct(to.alias("v"), told(message).alias("b"))).otherwise(s)
+        return F.when(over, F.struct(to.alias("v"), F.lit(kind).alias("k"), told(message).alias("b"))).otherwise(s)
 
-    def _check(self, v: Column, d: dict, path: Column) -> Column:
+    def _check(self, v: Column, kind: Column, d: dict, path: Column) -> Column:
         word, bound = d["constraint"], d["value"]
         never = F.lit(None).cast(J.WARNING)
         told = lambda bad, m: F.when(bad, warning(path, d["path"], word, m).cast(J.WARNING))
         if word == "pattern":
-            s = J.string(v)
+            s = F.when(kind == "string", F.try_variant_get(v, "$", "string"))
             return told(~s.rlike(java_pattern(bound)), F.concat(F.lit("value "), J.quoted(s), F.lit(f" does not match pattern {json.dumps(bound, ensure_ascii=False)}")))
         if word in ("minLength", "maxLength", "minItems", "maxItems"):
             if not _count(bound):
                 return never
-            size = F.char_length(J.string(v)) if word.endswith("Length") else F.size(J.as_array(v))
-            size = F.when(J.as_array(v).isNotNull(), size) if word.endswith("Items") else size
+            size = F.when(kind == "string", F.char_length(F.try_variant_get(v, "$", "string"))) if word.endswith("Length") else F.when(kind == "array", F.size(J.as_array(v)))
             bad, says = (size < bound, "is less than") if word.startswith("min") else (size > bound, "exceeds")
             return told(bad, F.concat(F.lit(f"{'string' if word.endswith('Length') else 'array'} length "), size.cast("string"), F.lit(f" {says} {word} {bound}")))
         if not _number(bound):
             return never
-        kind = J.kind(v)
         d_value = F.when(kind.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
         shown = F.when(kind == "integer", J.text(v)).otherwise(J.short_number(d_value))
         n, exact = F.when(kind == "integer", F.try_variant_get(v, "$", "decimal(38,0)")), F.lit(bound).cast("decimal(38,0)") if isinstance(bound, int) and abs(bound) < 10**37 else None
@@ -422,21 +428,21 @@ class Settle:
         }[word]
         return told(compare(bad), F.concat(F.lit("value "), shown, F.lit(f" {says} "), J.short_number(F.lit(float(bound)))))
 
-    def _inside(self, node: Node, schema: dict, v: Column, path: Column) -> Column:
+    def _inside(self, node: Node, schema: dict, v: Column, kind: Column, path: Column) -> Column:
         nothing = J.none_of(J.WARNING)
-        scalar = F.when(F.schema_of_variant(v) == "DOUBLE", J.number_text(F.try_variant_get(v, "$", "double"))).otherwise(J.text(v))
         fields = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         prefix = schema.get("prefixItems") if isinstance(schema.get("prefixItems"), list) else []
         items = schema.get("items")
+        # A double is written as one; other numbers as they came.
+        text = F.when(kind == "number", F.when(F.schema_of_variant(v) == "DOUBLE", J.number_text(F.try_variant_get(v, "$", "double"))).otherwise(J.text(v))).otherwise(J.text(v))
+        leaf = self.result(text, nothing, nothing, nothing)
         out = None
         if fields or node.members or node.patterns:
-            out = F.when(J.as_map(v).isNotNull(), J.let(F.map_entries(J.as_map(v)), lambda m: self._object(node, fields, m, path)))
+            out = F.when(kind == "object", J.let(F.map_entries(J.as_map(v)), lambda m: self._object(node, fields, m, path)))
         if prefix or isinstance(items, dict) or node.items or node.places:
             array = J.let(J.as_array(v), lambda x: self._array(node, prefix, items, x, path))
-            out = F.when(J.as_array(v).isNotNull(), array) if out is None else out.when(J.as_array(v).isNotNull(), array)
-        if out is None:
-            return self.result(J.text(v) if schema.get("type") in ("object", "array") else F.when(J.kind(v).isin("object", "array"), J.text(v)).otherwise(scalar), nothing, nothing, nothing)
-        return out.otherwise(self.result(J.text(v), nothing, nothing, nothing))
+            out = F.when(kind == "array", array) if out is None else out.when(kind == "array", array)
+        return leaf if out is None else out.otherwise(leaf)
 
     def _object(self, node: Node, fields: dict, members: Column, path: Column) -> Column:
         names = sorted(fields.keys() | node.members.keys())
