@@ -20,7 +20,6 @@ token has the base probability. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
 from collections import Counter
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, partitions, release
 from .suffix_dedup import BLOBS, BLOBS_SQL, STORED, Chunk, _chunks, _eights, _mix, _pack, _rows, _unpack
 
 FOLDS, HELD_OUT = 7, 2
@@ -301,6 +300,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: in
 
     stored = rows.mapInArrow(store, "chunk bigint, blob binary")
     words = checkpointed(rows.mapInArrow(_send_words(parts, chunk), BLOBS_SQL).groupBy("part").applyInArrow(_total_words, BLOBS_SQL))
+    release(docs.sparkSession)
     cut = F.split(F.decode("blob", "UTF-8"), ",")
     sums = words.filter("chunk = -1").select(cut[0].cast("bigint").alias("n"), cut[1].cast("bigint").alias("v")).agg(F.sum("n"), F.sum("v")).first()
     tokens, types = (int(x or 0) for x in sums)
@@ -308,8 +308,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: in
     sent = stored.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_send_pairs(parts, tokens), BLOBS_SQL)
     pairs = checkpointed(sent.groupBy("part").applyInArrow(_total_pairs, BLOBS_SQL))
     del sent
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()  # the shuffle of the pairs is not read again; Spark drops its files
+    release(docs.sparkSession)  # the shuffle of the pairs is not read again
     shape = "history bigint, " + ", ".join(f"s{i} bigint" for i in range(K + 2))
     found = pairs.filter("chunk = -1").mapInArrow(_sums, shape).groupBy("history").agg(*(F.sum(f"s{i}") for i in range(K + 2))).collect()
     by_key = {r[0] & 0xFFFFFFFFFFFFFFFF: np.array(r[1:], np.int64) for r in found}
