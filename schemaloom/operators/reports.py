@@ -112,7 +112,7 @@ def numbered(df: DataFrame, name: str, order: str, column: str = "unique_name")
 
 def chosen(df: DataFrame, name: str, n: int, seed: int = 42) -> DataFrame:
     """n rows, the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(name), F.lit(seed)), name).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(name).cast("string"))), name).limit(n)
 
 
 def timing(df: DataFrame, name: str, value: str, *by: str) -> DataFrame:
