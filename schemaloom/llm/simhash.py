@@ -163,10 +163,11 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = packed.select("k", F.col(f"row.`{text}`").alias("text"))
     rows = checkpointed(_marked_fingerprints(marked, words))
     labels = _labels(rows, max_bits, segments)
-    kept = rows.join(labels, "fp").groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
+    first = rows.groupBy("fp").agg(F.min("k").alias("k"))
+    kept = first.join(labels, "fp").groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
     same = (F.col("key") == F.col("key0")) & F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")) & (F.col("last") == F.col("l0"))
     found = packed.select("row", "k.*", key.alias("key")).join(kept, same, "left_semi")
-    once = found.groupBy("key", "last", "d", "t").agg(F.first("row").alias("row"))
+    once = found.groupBy("key", "last", "d", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
