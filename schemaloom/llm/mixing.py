@@ -49,10 +49,9 @@ def distribution(rate: Column) -> Column:
 def tempered(docs: DataFrame, power: float = 0.5, total: float = 1.0, source: str = "source") -> DataFrame:
     """Rates for weights in proportion to the size of a source to some power, and `total` times as many documents."""
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
-    sums = sizes.agg(F.sum("n").alias("all_n"), F.sum(F.pow(F.col("n").cast("double"), F.lit(power))).alias("all_w"))
-    return sizes.join(F.broadcast(sums)).select(  # one row
-        "source", (F.pow(F.col("n").cast("double"), F.lit(power)) / F.col("all_w") * F.col("all_n") * total / F.col("n")).alias("rate")
-    )
+    weight = F.pow(F.col("n").cast("double"), F.lit(power))
+    all_n, all_w = sizes.agg(F.sum("n"), F.sum(weight)).first()
+    return sizes.select("source", (weight / F.lit(all_w) * F.lit(all_n) * total / F.col("n")).alias("rate"))
 
 
 def weighted(docs: DataFrame, weights: dict[str | None, float], total: float = 1.0, source: str = "source") -> DataFrame:
@@ -61,8 +60,9 @@ def weighted(docs: DataFrame, weights: dict[str | None, float], total: float = 1
     given = spark.createDataFrame([(k, float(v)) for k, v in weights.items() if v and v > 0], "s string, w double")
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
     alive = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s")))  # as long as the dict
-    sums = alive.agg(F.sum("w").alias("all_w")).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all_n"))))
-    return alive.join(F.broadcast(sums)).select("source", (F.col("w") / F.col("all_w") * F.col("all_n") * total / F.col("n")).alias("rate"))
+    all_w = alive.agg(F.sum("w")).first()[0]
+    all_n = docs.count()
+    return alive.select("source", (F.col("w") / F.lit(all_w) * F.lit(all_n) * total / F.col("n")).alias("rate"))
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, doc_id: str = "doc_id", source: str = "source", copy: str | None = "copy", broadcast_rows: int = 10_000) -> DataFrame:
