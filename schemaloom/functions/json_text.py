@@ -67,14 +67,24 @@ def string(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
+def name_text(name: Column) -> Column:
+    """A member's name as JSON text; most need no escaping."""
+    return F.when(name.rlike("^[A-Za-z0-9_ .:/@$-]*$"), F.concat(F.lit('"'), name, F.lit('"'))).otherwise(quoted(name))
+
+
+def members_text(names: Column, values: Column) -> Column:
+    """JSON text of an object from its names and the JSON texts of its values; a NULL value is an absent member."""
+    pairs = F.zip_with(names, values, lambda k, j: F.concat(name_text(k), F.lit(":"), j))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def object_text(members: Column) -> Column:
     """JSON text of an array of (k, j) in the order given; a NULL j is an absent member."""
-    present = F.filter(members, lambda m: m["j"].isNotNull())
-    return F.concat(F.lit("{"), F.array_join(F.transform(present, lambda m: F.concat(quoted(m["k"]), F.lit(":"), m["j"])), ","), F.lit("}"))
+    return members_text(members["k"], members["j"])
 
 
 def array_text(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["j"]), ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(items["j"], ","), F.lit("]"))
 
 
 def escaped(segment: Column) -> Column:

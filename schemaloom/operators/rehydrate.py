@@ -187,17 +187,15 @@ class Undo:
         return plain if out is None else out.otherwise(plain)
 
     def _object(self, node: Node, members: Column, spread: list[str], path: str) -> Column:
-        def one(m: Column) -> Column:
-            return J.let(self._member(node, m["key"], m["value"], path), lambda r: F.struct(m["key"].alias("k"), r["j"].alias("j"), r["e"].alias("e"), r["x"].alias("x")))
-
         def put(done: Column) -> Column:
-            errors = F.flatten(F.transform(done, lambda m: m["e"]))
-            own = F.transform(done, lambda m: F.struct(m["k"].alias("k"), m["j"].alias("j")))
+            errors = F.flatten(done["e"])
             if not spread:
-                return self.result(J.object_text(own), errors)
+                return self.result(J.members_text(members["key"], done["j"]), errors)
+            own = F.zip_with(members["key"], done["j"], lambda k, j: F.struct(k.alias("k"), j.alias("j")))
             name = spread[-1]
-            more = F.coalesce(F.filter(done, lambda m: m["k"] == name)[0]["x"], J.none_of(self.MEMBER))
-            some = F.exists(done, lambda m: (m["k"] == name) & m["x"].isNotNull())
+            given_back = F.zip_with(members["key"], done["x"], lambda k, x: F.when(k == name, x))
+            more = F.coalesce(F.get(F.filter(given_back, lambda x: x.isNotNull()), F.lit(0)), J.none_of(self.MEMBER))
+            some = F.exists(given_back, lambda x: x.isNotNull())
 
             def merge(given: Column) -> Column:
                 names = F.transform(given, lambda m: m["k"])
@@ -206,7 +204,7 @@ class Undo:
 
             return J.let(J.let(more, merge), lambda all_: self.result(J.object_text(all_), errors, all_))
 
-        return J.let(F.transform(members, one), put)
+        return J.let(F.transform(members, lambda m: self._member(node, m["key"], m["value"], path)), put)
 
     def _array(self, node: Node, items: Column, path: str) -> Column:
         def one(v: Column, i: Column) -> Column:
@@ -217,7 +215,7 @@ class Undo:
             rest = self.value(node.items, v, f"{path}/*") if node.items else self.result(J.text(v), J.none_of(J.ERROR))
             return rest if out is None else out.otherwise(rest)
 
-        return J.let(F.transform(items, one), lambda done: self.result(J.array_text(done), F.flatten(F.transform(done, lambda r: r["e"]))))
+        return J.let(F.transform(items, one), lambda done: self.result(J.array_text(done), F.flatten(done["e"])))
 
     def _map(self, node: Node, items: Column, path: str) -> Column:
         """Pairs to members, if all are pairs. Of equal keys the last counts."""
@@ -231,7 +229,7 @@ class Undo:
 
             def put(s: Column) -> Column:
                 members = F.transform(s, lambda p: F.struct(p["k"].alias("k"), p["j"].alias("j")))
-                return self.result(J.object_text(members), F.flatten(F.transform(s, lambda p: p["e"])), members)
+                return self.result(J.object_text(s), F.flatten(s["e"]), members)
 
             return J.let(F.sort_array(each), lambda s: J.let(in_order(s), put))
 
@@ -297,23 +295,37 @@ class Settle:
         if not node.own and node.bare and not schema.keys() & {"type", "properties", "items", "prefixItems", "anyOf", "oneOf"}:
             nothing = J.none_of(J.WARNING)
             return self.result(J.text(v), nothing, nothing, nothing)
-        return J.let(J.let(J.kind(v), lambda k: self._coerced(v, k, kinds, path)), lambda s: self._typed(node, schema, s, path))
-
-    def _coerced(self, v: Column, kind: Column, kinds: list[str], path: Column) -> Column:
-        """v of one of the kinds if it can be, its kind, and warnings."""
         nothing = J.none_of(J.WARNING)
-        same = F.struct(v.alias("v"), kind.alias("k"), nothing.alias("a"))
+        if not node.own and node.bare and not schema.keys() & {"properties", "items", "prefixItems", "anyOf", "oneOf"}:
+
+            def leaf(to: str, value: Column, told: Column) -> Column:
+                return self.result(J.number_text(value) if to == "number" else J.quoted(value) if to == "string" else value.cast("string"), told, nothing, nothing)
+
+            return J.let(J.kind(v), lambda k: self._coerced(v, k, kinds, path, self.result(self._text(v, k), nothing, nothing, nothing), leaf))
+
+        def state(to: str, value: Column, told: Column) -> Column:
+            return F.struct(value.cast("variant").alias("v"), F.lit(to).alias("k"), told.alias("a"))
+
+        same = lambda k: F.struct(v.alias("v"), k.alias("k"), nothing.alias("a"))
+        return J.let(J.let(J.kind(v), lambda k: self._coerced(v, k, kinds, path, same(k), state)), lambda s: self._typed(node, schema, s, path))
+
+    @staticmethod
+    def _text(v: Column, kind: Column) -> Column:
+        """A double is written as one; other values as they came."""
+        return F.when((kind == "number") & (F.schema_of_variant(v) == "DOUBLE"), J.number_text(F.try_variant_get(v, "$", "double"))).otherwise(J.text(v))
+
+    def _coerced(self, v: Column, kind: Column, kinds: list[str], path: Column, same: Column, make) -> Column:
+        """make(kind, value, warnings) of v as one of the kinds if it can be, else what stands for v itself."""
         if not set(kinds) & {"string", "integer", "number", "boolean"}:
             return same
 
         def made(to: str, value: Column, message: Column) -> Column:
-            return F.struct(value.cast("variant").alias("v"), F.lit(to).alias("k"), F.array(warning(path, path, "type", message)).cast(f"array<{J.WARNING}>").alias("a"))
+            return make(to, value, F.array(warning(path, path, "type", message)).cast(f"array<{J.WARNING}>"))
 
         def choose(s: Column) -> Column:
             shown = J.text(v)
             d = F.try_variant_get(v, "$", "double")
-            fits = kind.isin(*kinds) | ((kind == "integer") & F.lit("number" in kinds))
-            out = F.when(kind.isin("object", "array", "null") | fits, same)
+            out = F.when(F.lit(False), same)
             for k in kinds:
                 if k == "string":
                     number = F.when(kind == "number", J.number_text(d)).otherwise(shown)
@@ -331,7 +343,8 @@ class Settle:
                     out = out.when((kind == "string") & s.isin("true", "false"), made(k, s == "true", F.concat(F.lit('coerced string "'), s, F.lit('" to boolean '), s)))
             return out.otherwise(same)
 
-        return F.when(kind.isin("object", "array", "null"), same).otherwise(J.let(F.when(kind == "string", F.try_variant_get(v, "$", "string")), choose))
+        fits = kind.isin("object", "array", "null", *kinds, *(["integer"] if "number" in kinds else []))
+        return F.when(fits, same).otherwise(J.let(F.when(kind == "string", F.try_variant_get(v, "$", "string")), choose))
 
     def _typed(self, node: Node, schema: dict, s: Column, path: Column) -> Column:
         unions = [(w, u) for w in ("anyOf", "oneOf") if isinstance(u := schema.get(w), list)]
@@ -433,9 +446,7 @@ class Settle:
         fields = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         prefix = schema.get("prefixItems") if isinstance(schema.get("prefixItems"), list) else []
         items = schema.get("items")
-        # A double is written as one; other numbers as they came.
-        text = F.when(kind == "number", F.when(F.schema_of_variant(v) == "DOUBLE", J.number_text(F.try_variant_get(v, "$", "double"))).otherwise(J.text(v))).otherwise(J.text(v))
-        leaf = self.result(text, nothing, nothing, nothing)
+        leaf = self.result(self._text(v, kind), nothing, nothing, nothing)
         out = None
         if fields or node.members or node.patterns:
             out = F.when(kind == "object", J.let(F.map_entries(J.as_map(v)), lambda m: self._object(node, fields, m, path)))
@@ -458,13 +469,9 @@ class Settle:
                 hit, got = m["key"].rlike(java_pattern(pattern)), self.value(child, None, m["value"], below)
                 out = F.when(hit, got) if out is None else out.when(hit, got)
             plain = self.result(J.text(m["value"]), nothing, nothing, nothing)
-            return J.let(plain if out is None else out.otherwise(plain), lambda r: F.struct(m["key"].alias("k"), r["j"].alias("j"), *(r[g].alias(g) for g in "abc")))
-
-        def put(done: Column) -> Column:
-            pairs = F.transform(done, lambda m: F.struct(m["k"].alias("k"), m["j"].alias("j")))
-            return self.result(J.object_text(pairs), *(F.flatten(done[g]) for g in "abc"))
+            return plain if out is None else out.otherwise(plain)
 
-        return J.let(F.transform(members, one), put)
+        return J.let(F.transform(members, one), lambda done: self.result(J.members_text(members["key"], done["j"]), *(F.flatten(done[g]) for g in "abc")))
 
     def _array(self, node: Node, prefix: list, items, values: Column, path: Column) -> Column:
         places = sorted({*range(len(prefix)), *node.places})
