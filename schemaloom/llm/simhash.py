@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions
+from .common import checkpointed, key_filter, may_hold, partitions, stored
 from .components import connected_components
 
 BITS = 64
@@ -32,23 +32,31 @@ BITS = 64
 SMALL = 16
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
-    """Unsigned fingerprint: a bit is 1 if it is set in over half the hashes of the shingles."""
+def shingles(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of the shingles in order; a text of fewer words is one shingle."""
     found = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six white characters
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     starts = [0, *ends[:-1]]
     last = ends[words - 1 :] or ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip(starts, last, strict=False)), np.uint64, len(last))
+    return np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip(starts, last, strict=False)), np.uint64, len(last))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint: a bit is 1 if it is set in over half the hashes of the shingles."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    return simhash(shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long. One narrow pass over the texts."""
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -148,41 +156,85 @@ def _labels(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 7, words: int = 5, segments: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, max_bits: int = 7, words: int = 5, segments: int = 4) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the least id stays, a null id last.
 
+    Two documents are linked if the Jaccard similarity of their sets of shingles is at least `similarity`, which is
+    computed from the sets; documents with equal sets are one node. Candidates are sets that share a key.
+
     Rows that repeat id and text count as one and only one of them stays; of rows that repeat the least id only, the one
-    with the least hash of its text. On shingles of five words, 7 different bits of 64 are what texts of a similarity
-    of 0.8 have as often as not; the module's tests and the README give the measured figures.
+    with the least hash of its text.
     """
+    if 2 * segments <= max_bits:
+        raise ValueError("a pair could differ by two bits in every segment")
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("bigint").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")).alias("k"),
     )
     key = F.xxhash64("k.last", "k.d", "k.t")
-    marked = packed.select("k", F.col(f"row.`{text}`").alias("text"))
-    rows = checkpointed(_marked_fingerprints(marked, words))
-    labels = _labels(rows, max_bits, segments)
-    first = rows.groupBy("fp").agg(F.min("k").alias("k"))
-    kept = first.join(labels, "fp").groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
+    texts = packed.select("k", key.alias("key"), F.col(f"row.`{text}`").alias("text"))
+    rows = _sets(texts, words, lambda found: _variant_keys(found, segments))
+    nodes = stored(rows.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")))
+    roots = connected_components(_verified_links(nodes, texts, words, similarity))
+    labels = nodes.select("node", "k").join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    kept = labels.groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
     same = (F.col("key") == F.col("key0")) & F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")) & (F.col("last") == F.col("l0"))
     found = packed.select("row", "k.*", key.alias("key")).join(kept, same, "left_semi")
     once = found.groupBy("key", "last", "d", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-def _marked_fingerprints(marked: DataFrame, words: int) -> DataFrame:
-    """k and fp, from k and text."""
-    flat = marked.select("k.last", "k.d", "k.t", "text")
+def _variant_keys(hashes: np.ndarray, segments: int) -> list[int]:
+    fp = simhash(hashes)
+    return [xxhash.xxh64_intdigest((fp & mask % (1 << BITS)).to_bytes(8, "little"), bit) for bit, mask in _variants(segments)]
+
+
+def _sets(texts: DataFrame, words: int, keys=None) -> DataFrame:
+    """k, node (a hash of the set of shingles) and keys, from k and text; or node and the set, if no keys are given."""
+    flat = texts.select("k.last", "k.d", "k.t", "text")
 
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64)
-            columns = [batch[n] for n in ("last", "d", "t")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(got.view(np.int64), pa.int64())], names=["last", "d", "t", "fp"])
+            node, values = [], []
+            for t in batch["text"]:
+                hashes = shingles(t.as_py(), words)
+                one = np.unique(hashes)
+                node.append(xxhash.xxh64_intdigest(one.tobytes()))
+                values.append(np.array(keys(hashes) if keys else one, np.uint64).view(np.int64))
+            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("last", "d", "t")), *columns], names=["last", "d", "t", "node", "values"])
 
-    out = flat.mapInArrow(run, "last boolean, d bigint, t bigint, fp bigint")
-    return out.select(F.struct("last", "d", "t").alias("k"), "fp")
+    out = flat.mapInArrow(run, "last boolean, d bigint, t bigint, node bigint, values array<bigint>")
+    return out.select(F.struct("last", "d", "t").alias("k"), "node", F.col("values").alias("keys")) if keys else out.select("node", F.col("values").alias("set"))
+
+
+def _verified_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of at least that similarity between nodes, enough to join all that such links among sharers of a key join.
+
+    First all members of a key are compared with its least and its greatest node, which joins a dense group of n near
+    copies by n comparisons a key. Then, of the other members of a key, all pairs that are not joined by now.
+    """
+    variants = nodes.select("node", F.explode("keys").alias("key"))
+    shared = stored(variants.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
+    members = stored(may_hold(variants, "key", key_filter(shared, "key")).filter("__may").drop("__may").join(shared, "key"))
+    ours = nodes.select("node", "k").join(members.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("k.last", "k.d", "k.t").alias("key"))
+    ours = stored(ours)
+    read = may_hold(texts, "key", key_filter(ours, "key")).filter("__may")
+    sets = stored(_sets(read, words).join(ours.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return checkpointed(both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j")).filter(F.col("j") >= similarity).select("a", "b"))
+
+    first = verified(members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b"))
+    rest = members.filter("node <> lo and node <> hi").select("key", "node")
+    labelled = stored(rest.join(connected_components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    open_ = labelled.join(apart, "key")
+    x, y = (open_.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
+    return first.union(verified(x.join(y, "key").filter("a < b and label_a <> label_b").select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
