@@ -30,6 +30,8 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this size are compared side by side, larger ones searched.
 SMALL = 16
+#: MinHash of the pipeline's stage: bands, and functions in each.
+BANDS, ROWS = 24, 5
 
 
 def shingles(text: str | None, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -156,25 +158,24 @@ def _labels(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, max_bits: int = 7, words: int = 5, segments: int = 4) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the least id stays, a null id last.
 
     Two documents are linked if the Jaccard similarity of their sets of shingles is at least `similarity`, which is
-    computed from the sets; documents with equal sets are one node. Candidates are sets that share a key.
+    computed from the sets; documents with equal sets are one node. Candidates are sets that agree in a band of their
+    MinHash, as a pair of similarity s does with probability 1 - (1 - s ** rows) ** bands: all but 8 in 100,000 at 0.8.
 
     Rows that repeat id and text count as one and only one of them stays; of rows that repeat the least id only, the one
     with the least hash of its text.
     """
-    if 2 * segments <= max_bits:
-        raise ValueError("a pair could differ by two bits in every segment")
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).cast("bigint").alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")).alias("k"),
     )
     key = F.xxhash64("k.last", "k.d", "k.t")
     texts = packed.select("k", key.alias("key"), F.col(f"row.`{text}`").alias("text"))
-    rows = _sets(texts, words, lambda found: _variant_keys(found, segments))
-    nodes = stored(rows.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")))
+    marked = _sets(texts, words, lambda found: band_keys(found, bands, rows))
+    nodes = stored(marked.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")))
     roots = connected_components(_verified_links(nodes, texts, words, similarity))
     labels = nodes.select("node", "k").join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     kept = labels.groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
@@ -184,9 +185,16 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
-def _variant_keys(hashes: np.ndarray, segments: int) -> list[int]:
-    fp = simhash(hashes)
-    return [xxhash.xxh64_intdigest((fp & mask % (1 << BITS)).to_bytes(8, "little"), bit) for bit, mask in _variants(segments)]
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 42) -> list[int]:
+    """A key for each band of the MinHash of a set: the band and the least of its hashes under `rows` functions."""
+    if not len(hashes):
+        return []
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 256):
+        mixed = hashes[i : i + 256, None] * factors
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return [xxhash.xxh64_intdigest(least[j * rows : (j + 1) * rows].tobytes(), j) for j in range(bands)]
 
 
 def _sets(texts: DataFrame, words: int, keys=None) -> DataFrame:
@@ -197,10 +205,9 @@ def _sets(texts: DataFrame, words: int, keys=None) -> DataFrame:
         for batch in batches:
             node, values = [], []
             for t in batch["text"]:
-                hashes = shingles(t.as_py(), words)
-                one = np.unique(hashes)
+                one = np.unique(shingles(t.as_py(), words))
                 node.append(xxhash.xxh64_intdigest(one.tobytes()))
-                values.append(np.array(keys(hashes) if keys else one, np.uint64).view(np.int64))
+                values.append(np.array(keys(one) if keys else one, np.uint64).view(np.int64))
             columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(values, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("last", "d", "t")), *columns], names=["last", "d", "t", "node", "values"])
 

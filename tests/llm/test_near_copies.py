@@ -37,3 +37,26 @@ def test_close_fingerprints_below_the_similarity_all_stay(spark):
             texts += [base, other]
     texts += ["a b c d e f a b c d e", "a b c d e f a b c d e f a b c d e f g h i"]
     assert kept(spark, list(enumerate(texts))) == set(range(len(texts)))
+
+
+def test_one_stays_of_each_component_by_brute_force(spark):
+    rng = random.Random(2)
+    texts = ["", None, "one two", "one two", "One  TWO\n"]
+    for n in (20, 60, 200):
+        for _ in range(4):
+            base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+            family = [base]
+            for _ in range(14):  # of earlier members, so that chains and outliers of a dense group occur
+                family.append(changed(rng, rng.choice(family), rng.choice([0, 1, n // 50, n // 40, n // 25])))
+            texts += family
+    rng.shuffle(texts)
+    root = list(range(len(texts)))
+    links = 0
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            if similarity(a or "", b or "") >= 0.8:
+                links += 1
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(i for i, r in enumerate(root) if r == x) for x in set(root)}
+    assert links > 200 and 15 < len(want) < len(texts) - 50
+    assert kept(spark, list(enumerate(texts))) == want
