@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
-import time
 import uuid
 import zlib
 
@@ -24,38 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where none is set, as in tests on one machine, a temporary one is made.
+    Only where none is set and all runs on this machine, as in tests, a temporary one is made; a cluster must name one.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="schemaloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Spark's own switch: what a plan has shuffled goes when its execution ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Plans made in here drop their shuffle files when they have run: what they wrote is in the shared folder by then."""
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_end(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: compressed, and read by column."""
+    """Cut the lineage by a table in the shared folder: compressed, and read by column. It goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, rounds: int = 3) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more.
-
-    It drops them when the driver collects its garbage, which a driver with memory to spare may not do for long.
-    """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    with _shuffles_end(spark):
+        df.select("*").write.parquet(path.toString())
+    return spark.read.schema(df.schema).parquet(path.toString())
 
 
 #: Bits of a key filter: 8 MB, whatever the input.

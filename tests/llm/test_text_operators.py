@@ -273,18 +273,19 @@ def test_passages_of_the_tables(spark, data):
 # -- 10: language model --------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk", [2000, katz.CHUNK])
-def test_scores(spark, chunk):
+@pytest.mark.parametrize(("chunk", "part", "order"), [(2000, 40, 3), (katz.CHUNK, katz.PART, 3), (1500, 300, 2), (2000, 60, 4)])
+def test_scores(spark, chunk, part, order):
+    """Small parts make common words hot: these are dealt with their successors."""
     rng = random.Random(chunk)
     given = [(i, words(rng, rng.randrange(60))) for i in range(150)] + [(None, "w1 w2"), (500, None), (5, "W1  w1\tw3\x0b")]
-    got = katz.score(docs(spark, given).repartition(3), chunk=chunk).collect()
-    brute = katz.brute_force(given)
+    got = katz.score(docs(spark, given).repartition(3), order, chunk=chunk, part=part).collect()
+    brute = katz.brute_force(given, order)
     key = lambda r: (r[0] is None, r[0] or 0, r[1:4])
     want = sorted([(d, *s) for (d, _), s in zip(given, brute["scores"], strict=True)], key=key)
     mine = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key)
     for g, w in zip(mine, want, strict=True):
         assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], abs=1e-6)
-    for h in brute["histories"][:20]:
+    for h in brute["histories"][:200]:
         total = sum(brute["probability"](h, w) for w in brute["words"]) + brute["probability"](h, "never seen")
         assert total == pytest.approx(1, abs=1e-9)
 
