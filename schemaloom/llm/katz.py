@@ -43,9 +43,9 @@ ORDER = 3
 K = 5
 #: Parts' shares of all tokens beyond which a word is dealt with its successor.
 HOT = 4
-CHUNK = 12_000_000
+CHUNK = 10_000_000
 #: Tokens of a part.
-PART = 800_000
+PART = 700_000
 END = np.uint64(0x454E44)
 #: Numbers of the begin of a text, and of what lies before it.
 START, PAD = 1 << 62, (1 << 62) + 1
