@@ -6,13 +6,15 @@ array operations; only those run through the merges, all of them side by side. N
 between chunks, so memory is bounded by the chunk.
 
 The file must hold a BPE model with an end-of-word suffix over byte symbols, and the normaliser and pre-tokeniser
-that `check_form` names; any other file is refused. Pre-tokens are told apart by a 64-bit hash and their length.
+that `check_form` names; any other file is refused. Pre-tokens are grouped by a 64-bit hash and then compared byte by byte.
+Added tokens are taken out of a text before anything else, as the library does.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import sys
 import unicodedata
 
@@ -73,7 +75,8 @@ class Bpe:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         pairs = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], np.uint64)
         made = np.array([vocab[a + b] for a, b in merges], np.uint32)
-        self.size = max(vocab.values()) + 1
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self.taken = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._index(pairs, made)
         rng = np.random.default_rng(20)
         self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,7 +86,8 @@ class Bpe:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         ok = kinds == ["NFC", "Replace", "Lowercase"] and split["pattern"] == {"Regex": PATTERN} and level["type"] == "ByteLevel"
-        if not ok or not spec["model"]["end_of_word_suffix"] or len(spec["model"]["vocab"]) >= 1 << 31:
+        plain = all(not t[k] for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not ok or not plain or not spec["model"]["end_of_word_suffix"] or len(spec["model"]["vocab"]) >= 1 << 31:
             raise ValueError("not a vocabulary of the form that this module reads")
 
     def _index(self, pairs: np.ndarray, made: np.ndarray) -> None:
@@ -185,8 +189,39 @@ class Bpe:
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= (end - begin).astype(np.uint64)
         _, first, kinds = np.unique(h, return_index=True, return_inverse=True)
+        apart = np.flatnonzero(~self._same(raw, begin, end, first[kinds]))
+        if len(apart):  # equal hashes of different bytes
+            found: dict[bytes, int] = {}
+            more = []
+            for i in apart.tolist():
+                key = raw[begin[i] : end[i]].tobytes()
+                if key not in found:
+                    found[key] = len(first) + len(more)
+                    more.append(i)
+                kinds[i] = found[key]
+            first = np.r_[first, more]
         return first, kinds
 
+    @staticmethod
+    def _same(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, wide: int = 64) -> np.ndarray:
+        """Whether each pre-token has the bytes of pre-token `other`."""
+        size = end - begin
+        same = size == size[other]
+        left = np.flatnonzero(same & (other != np.arange(len(other))))
+        for i in left[size[left] > wide].tolist():
+            a, b, n = begin[i], begin[other[i]], size[i]
+            same[i] = bool((raw[a : a + n] == raw[b : b + n]).all())
+        left = left[size[left] <= wide]
+        padded = np.r_[raw, np.zeros(8, np.uint8)]
+        eights = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+        for step in range(0, wide, 8):
+            left = left[size[left] > step]
+            if not len(left):
+                break
+            mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(size[left] - step, 8).astype(np.uint64))
+            same[left] &= (eights[begin[left] + step] ^ eights[begin[other[left]] + step]) & mask == 0
+        return same
+
     # -- merges --------------------------------------------------------------------------------------------------
     def merge(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pre-tokens one after the other, and the number of each."""
@@ -250,6 +285,26 @@ class Bpe:
 
     def kinds(self, texts: list[str]):
         """Pre-tokens by text, the kind of each pre-token, ids of all kinds and the number of ids by kind."""
+        if self.taken and any(self.taken.search(t) for t in texts):
+            return self._kinds_with_added(texts)
+        return self._kinds(texts)
+
+    def _kinds_with_added(self, texts: list[str]):
+        """As kinds: what stands between added tokens is a text by itself, and each of them is a kind by itself."""
+        pieces = [self.taken.split(t) for t in texts]  # every second piece is an added token
+        by_piece, kinds, ids, counts = self._kinds(["" if i % 2 else p for found in pieces for i, p in enumerate(found)])
+        number = {t: len(counts) + i for i, t in enumerate(self.added)}
+        parts, by_text, k = np.split(kinds, np.cumsum(by_piece)[:-1]), [], 0
+        for found in pieces:
+            for i, p in enumerate(found):
+                if i % 2:
+                    parts[k + i] = np.array([number[p]])
+            by_text.append(sum(map(len, parts[k : k + len(found)])))
+            k += len(found)
+        more = np.array([*self.added.values()], np.uint32)
+        return np.array(by_text, np.int64), np.concatenate(parts).astype(np.int64), np.r_[ids, more], np.r_[counts, np.ones(len(more), np.int64)]
+
+    def _kinds(self, texts: list[str]):
         raw, begin, end, by_text = self.cut(texts)
         first, kinds = self.distinct(raw, begin, end)
         ids, counts = self.encode_distinct(raw, begin[first], end[first])
@@ -274,6 +329,4 @@ class Bpe:
 def _library(path: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    return Tokenizer.from_file(path)

@@ -113,7 +113,7 @@ class TokenTree:
 
 
 #: What `cleaning_edits` masks: mail addresses and long numbers.
-MASKED = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+|\d{7,}")
+MASKED = re.compile(r"[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,64})+|[0-9]{7,}")
 
 
 def cleaning_edits(text: str) -> list[Edit]:
@@ -122,7 +122,7 @@ def cleaning_edits(text: str) -> list[Edit]:
     They are ordered from the end to the begin, so that each offset holds when its turn comes.
     """
     out: list[Edit] = []
-    if text.count("\n") > 1:
+    if "\n" in text:
         seen: set[str] = set()
         at = 0
         for line in text.split("\n"):

@@ -67,7 +67,15 @@ def test_rates_are_means(spark):
 
 
 def library(texts):
-    return [e.ids for e in bpe._library(queries.tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(queries.tokenizer()).encode_batch(texts, add_special_tokens=False)]
+
+
+def parity(n):
+    """Words of n letters that alternate by the parity of the bits of their place: they and their complements collide under any polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
 
 
 def test_ids_are_those_of_the_library():
@@ -115,6 +123,28 @@ def test_an_edit_encodes_its_surroundings_only(spark):
     assert (row.n_edits, row.n_edited_tokens) == (1, len(library([edited])[0])) and row.n_encoded_chars < 60
 
 
+def test_the_queries_count_as_the_library(spark, data):
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, data, "documents").collect()}
+    ids = dict(zip(texts, library([*texts.values()]), strict=True))
+    counted = {r.doc_id: r for r in queries.op7_token_counts(spark, data).collect()}
+    assert {d: r.n_tokens for d, r in counted.items()} == {d: len(x) for d, x in ids.items()}
+
+    def edited(text):
+        for at, n, new in token_counts.cleaning_edits(text):
+            text = text[:at] + new + text[at + n :]
+        return text
+
+    changed = [d for d, r in counted.items() if r.n_edits]
+    assert changed and [counted[d].n_edited_tokens for d in changed] == [len(x) for x in library([edited(texts[d]) for d in changed])]
+    assert token_counts.cleaning_edits("a line of twenty signs\na line of twenty signs") == [(23, 23, "")]
+    collide = docs(spark, list(enumerate([*parity(512), *parity(256), "x <|endoftext|> y"]))).coalesce(1)
+    want = library([r.text for r in collide.collect()])
+    assert [r.n_tokens for r in token_counts.token_counts(collide, queries.tokenizer()).collect()] == [len(x) for x in want]
+    for r in packing.digests(packing.pack(collide, queries.tokenizer())).collect():
+        part = np.array([*want[r.doc_id], 2][r.start : r.start + r.length], "<u4")
+        assert r.ids_crc32 == zlib.crc32(part.tobytes())
+
+
 # -- 3: lines ------------------------------------------------------------------------------------------------------
 
 
