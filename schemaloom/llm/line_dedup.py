@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line of at least `min_chars` code points goes if an earlier line, in the order of document and position, equals it
-or is within one edit of it (a code point put in, taken out or replaced). Lines are judged on the input: a line that
-goes itself still counts as an earlier line. Shorter lines always stay, as do empty ones.
+A line with text goes if an earlier line, in the order of document and position, equals it. A line of at least
+`min_chars` code points also goes if an earlier one is within one edit of it (a code point put in, taken out or
+replaced): in shorter lines one edit is a large part. Lines are judged on the input: a line that goes itself still
+counts as an earlier line. Lines of white space alone always stay.
 
 Two lines within one edit share a variant: the same text after at most one deletion, at the same place if a code
 point was replaced. All variants of all lines would be as many rows as there are characters, so lines are narrowed
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, key_filter, may_hold, stored
 
+#: The shortest lines that are matched within one edit.
 MIN_CHARS = 20
 #: Blocks of a line by round of narrowing, after its halves; then windows are 1/256 of a line, or short.
 ROUNDS = (8, 8, 4)
@@ -38,10 +40,10 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> list[Column]:
 
 
 def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """d, t, pos, line, h, h2 of all lines that count, from d, t, text. occ orders the occurrences."""
+    """occ, line, h, h2 and long of all lines with text, from d, t, text. occ orders the occurrences."""
     each = rows.select("d", "t", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    long = each.filter(F.char_length(F.btrim("line", F.lit(SPACES))) >= min_chars)
-    return long.select(F.struct("d", "t", "pos").alias("occ"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    sized = each.withColumn("size", F.char_length(F.btrim("line", F.lit(SPACES)))).filter("size > 0")
+    return sized.select(F.struct("d", "t", "pos").alias("occ"), "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.col("size") >= min_chars).alias("long"))
 
 
 def _blocks(key: Column, window: Column, blocks: int, short: int = SHORT) -> Column:
@@ -76,7 +78,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def near_lines(candidates: DataFrame, rounds: tuple[int, ...]) -> DataFrame:
-    """h of every line with an earlier line within one edit, and h and line of that one, from distinct (h, line, occ).
+    """h, h2 of every line with an earlier line within one edit, and h and line of each found, from distinct (h, h2, line, occ).
 
     Each round is written to the shared folder: the next reads it twice.
     """
@@ -100,11 +102,11 @@ def near_lines(candidates: DataFrame, rounds: tuple[int, ...]) -> DataFrame:
     other = each.groupBy("v").agg(F.min(whole).alias("whole"), F.min(less).alias("less")).filter("whole.h <> less.h")
     replaced = each.filter("p >= 0").join(same, ["v", "p"])
     moved = each.join(other, "v").select("h", "occ", F.when(F.col("p") < 0, F.col("less")).otherwise(F.col("whole")).alias("w"))
-    found = replaced.select("h", "occ", "w").union(moved).filter("w.occ < occ").groupBy("h").agg(F.min("w").alias("w"))
-    mine = candidates.select("h", F.col("line").alias("a"))
+    found = replaced.select("h", "occ", "w").union(moved).filter("w.occ < occ")
+    mine = candidates.select("h", "h2", F.col("line").alias("a"))
     theirs = candidates.select(F.col("h").alias("wh"), F.col("line").alias("b"))
-    pairs = found.select("h", F.col("w.h").alias("wh")).join(mine, "h").join(theirs, "wh")
-    return pairs.filter(F.levenshtein("a", "b", 1) >= 0).select("h", F.col("wh").alias("earlier_h"), F.col("b").alias("earlier"))
+    pairs = found.select("h", F.col("w.h").alias("wh")).distinct().join(mine, "h").join(theirs, "wh")
+    return pairs.filter(F.levenshtein("a", "b", 1) >= 0).select("h", "h2", F.col("wh").alias("earlier_h"), F.col("b").alias("earlier"))
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -125,17 +127,17 @@ def removed_lines(rows: DataFrame, min_chars: int = MIN_CHARS, rounds: tuple[int
     """
     lines = _lines(rows, min_chars)
     sized = lines.withColumn("n", F.char_length("line"))
-    slim = stored(sized.select("occ", "h", "h2", _halves(F.col("line"), F.col("n")).alias("keys")))
+    slim = stored(sized.select("occ", "h", "h2", F.when(F.col("long"), _halves(F.col("line"), F.col("n"))).alias("keys")))
     heads = slim.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     halves = heads.select("h", F.explode("keys").alias("key"))
     shared = stored(halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key"))
     likely = may_hold(halves, "key", key_filter(shared, "key")).filter("__may")
     some = stored(likely.join(shared, "key", "left_semi").select("h").distinct())
-    texts = may_hold(lines, "h", key_filter(some, "h")).filter("__may").select("h", "h2", "occ", "line")
+    texts = may_hold(lines.filter("long"), "h", key_filter(some, "h")).filter("__may").select("h", "h2", "occ", "line")
     first = F.min(F.struct("occ", "line")).alias("f")
-    candidates = texts.join(some, "h", "left_semi").groupBy("h", "h2").agg(first).select("h", F.col("f.line").alias("line"), F.col("f.occ").alias("occ"))
-    near = stored(near_lines(stored(candidates), rounds).select("h")).withColumn("near", F.lit(True))
-    heads = slim.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n")).join(near, "h", "left")
+    candidates = texts.join(some, "h", "left_semi").groupBy("h", "h2").agg(first).select("h", "h2", F.col("f.line").alias("line"), F.col("f.occ").alias("occ"))
+    near = stored(near_lines(stored(candidates), rounds).select("h", "h2").distinct()).withColumn("near", F.lit(True))
+    heads = slim.groupBy("h", "h2").agg(F.min("occ").alias("first"), F.count("*").alias("n")).join(near, ["h", "h2"], "left")
     heads = stored(heads.filter("n > 1 or near").select("h", "h2", "first", "near"))
     hit = may_hold(slim.select("occ", "h", "h2"), "h", key_filter(heads, "h")).filter("__may").drop("__may")
     return hit.join(heads, ["h", "h2"]).filter("near or occ > first").select("occ.d", "occ.t", "occ.pos").distinct()
@@ -150,15 +152,34 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     marked = may_hold(keyed.withColumn("k", F.xxhash64("d", "t")), "k", key_filter(gone, "k"))
     columns = [c for c in docs.columns if c != removed]
 
-    def rest(old: Column) -> Column:
-        kept = F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains("gone", i))
-        return F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
-
     def out(df: DataFrame, value: Column, number: Column) -> DataFrame:
         given = [value.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns]
         return df.select(*given, *([number.cast("int").alias(removed)] if removed else []))
 
     old = F.col(f"row.`{text}`")
-    touched = marked.filter("__may").join(gone.drop("k"), ["d", "t"], "left")
-    changed = out(touched, rest(old), F.coalesce(F.size("gone"), F.lit(0)))
+    touched = marked.filter("__may").join(gone.drop("k"), ["d", "t"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(old, "\n")))
+    # Places that stay, by a hash set; then each line is taken by its place: linear in the lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    changed = out(touched, F.when(F.col("gone").isNull(), old).otherwise(rest), F.coalesce(F.size("gone"), F.lit(0)))
     return changed.union(out(marked.filter("not __may"), old, F.lit(0)))
+
+
+#: Deletion variants of all lines, without the narrowing: for small tables.
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM texts),
+sized AS (SELECT *, length(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS size FROM lines),
+heads AS (SELECT line, any_value(size) AS size, min({{'d': doc_id, 'p': pos}}) AS first FROM sized WHERE size > 0 GROUP BY line),
+cuts AS (SELECT line, first, unnest(generate_series(0, length(line))) AS p FROM heads WHERE size >= {MIN_CHARS}),
+variants AS (SELECT line, first, p, CASE WHEN p = 0 THEN line ELSE substring(line, 1, p - 1) || substring(line, p + 1) END AS v FROM cuts),
+replaced AS (SELECT p, v, min(first) AS least FROM variants WHERE p > 0 GROUP BY p, v),
+met AS (SELECT v, min(first) FILTER (WHERE p = 0) AS whole, min(first) FILTER (WHERE p > 0) AS less FROM variants GROUP BY v),
+near AS (SELECT DISTINCT line FROM (
+  SELECT a.line FROM variants a JOIN replaced r ON a.p = r.p AND a.v = r.v WHERE r.least < a.first
+  UNION ALL SELECT a.line FROM variants a JOIN met m ON a.v = m.v WHERE (a.p = 0 AND m.less < a.first) OR (a.p > 0 AND m.whole < a.first))),
+marked AS (SELECT s.doc_id, s.pos, s.line, coalesce(s.size > 0 AND ({{'d': s.doc_id, 'p': s.pos}} > h.first OR n.line IS NOT NULL), false) AS gone
+  FROM sized s LEFT JOIN heads h ON s.line = h.line LEFT JOIN near n ON s.line = n.line),
+rest AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN r.n > 0 THEN coalesce(r.kept, '') ELSE t.text END AS text, r.n::INTEGER AS n_removed FROM texts t JOIN rest r ON t.doc_id = r.doc_id
+"""

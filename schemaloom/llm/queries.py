@@ -69,5 +69,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op4_mixing": mixing.ORACLE_SQL,
 }
