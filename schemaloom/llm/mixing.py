@@ -9,13 +9,15 @@ dealt to partitions by a hash of id, copy and seed, and ordered by it there. A h
 Rates are a table of one row per source. It is broadcast only if counted to be at most `broadcast_rows` rows;
 otherwise documents and rates are joined with a salt, so that a source of a third of all rows is split.
 
-A null source is a source of its own. Rows with a null id share one number, as do repeated rows. A text is never
-read, so it may be null, empty or very long. A source without a target, or with a target that is null, zero or
+A null source is a source of its own. A row with a null id takes its number from a hash of its columns, so such rows
+are dealt out like others; repeated rows share one number. Texts may be null, empty or very long. A source without a target, or with a target that is null, zero or
 negative, gives no rows. Columns named like those that are added are replaced. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,9 @@ def weighted(docs: DataFrame, weights: dict[str | None, float], total: float = 1
 def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, doc_id: str = "doc_id", source: str = "source", copy: str | None = "copy", broadcast_rows: int = 10_000) -> DataFrame:
     """The columns of docs and the number of the copy, from 1; copy=None leaves the number out."""
     kept = [c for c in docs.columns if c != copy]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(doc_id).alias("id"), F.col(source).alias("src"))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if f.name in kept and not re.search(r"map<|variant", f.dataType.simpleString())]
+    ident = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null "), F.xxhash64(*hashable).cast("string")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), ident.alias("ident"), F.col(source).alias("src"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     table = (
         rates.filter("rate > 0")
@@ -79,16 +83,16 @@ def mix(docs: DataFrame, rates: DataFrame, seed: int = 7, doc_id: str = "doc_id"
         joined = rows.join(F.broadcast(table), F.col("src").eqNullSafe(F.col("of")))
     else:
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        own = rows.withColumn("own", F.pmod(F.xxhash64("ident"), F.lit(SALTS)).cast("int"))
         joined = own.join(salted, (F.col("own") == F.col("salt")) & F.col("src").eqNullSafe(F.col("of")))
 
     def count(j: Column) -> Column:
-        u = number("id", F.lit(seed), j)
+        u = number("ident", F.lit(seed), j)
         return F.transform(F.array(u), lambda v: F.size(F.filter(F.col("cdf"), lambda c: c <= v)))[0]
 
     n = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), count), F.lit(0), lambda a, x: a + x)
-    copies = joined.select("row", "id", n.alias("n")).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    dealt = copies.withColumn("at", F.xxhash64("id", "k", F.lit(seed)))
+    copies = joined.select("row", "ident", n.alias("n")).filter("n > 0").select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    dealt = copies.withColumn("at", F.xxhash64("ident", "k", F.lit(seed)))
     shuffled = dealt.repartition(partitions(docs), "at").sortWithinPartitions("at")
     out = [F.col(f"row.`{c}`").alias(c) for c in kept]
     return shuffled.select(*out, *([F.col("k").alias(copy)] if copy else []))
