@@ -15,6 +15,7 @@ read. An empty table gives an empty result. A null or empty list of edits leaves
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 3_000_000
+#: Counts of so many regions of at most so many code points are remembered by a task.
+REMEMBERED, SHORT = 1 << 14, 256
 #: A run between white space, with what white space stands before it. White_Space of Unicode.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LEAF = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -69,12 +72,19 @@ class TokenTree:
                 node += 1
         return node - self.width, at
 
+    def _before(self, leaf: int) -> int:
+        """Code points before a leaf."""
+        node, out = self.width + leaf, 0
+        while node > 1:
+            if node % 2:
+                out += int(self.chars[node - 1])
+            node //= 2
+        return out
+
     def _beside(self, leaf: int, step: int) -> int:
-        """The next leaf with text in that direction, or the leaf itself at the end."""
-        i = leaf + step
-        while 0 <= i < len(self.leaves) and not self.leaves[i]:
-            i += step
-        return i if 0 <= i < len(self.leaves) else leaf
+        """The next leaf with text in that direction, or the leaf itself at the end. Sums lead past leaves without text."""
+        at = self._before(leaf) + (int(self.chars[self.width + leaf]) if step > 0 else -1)
+        return self._leaf(at)[0] if 0 <= at < self.chars[1] else leaf
 
     def _put(self, leaf: int, text: str, tokens: int) -> None:
         self.leaves[leaf] = text
@@ -100,15 +110,19 @@ class TokenTree:
             finish += self.leaves[right]
         region = begin + inserted + finish
         self.encoded += len(region)
-        for i in range(left, right + 1):
+        i = left
+        while i <= right:
+            following = self._beside(i, 1)
             if self.leaves[i]:
                 self._put(i, "", 0)
+            if following <= i:
+                break
+            i = following
         self._put(left, region, int(count([region])[0]) if region else 0)
 
     def _end(self) -> tuple[int, int]:
-        leaf = len(self.leaves) - 1
-        while leaf and not self.leaves[leaf]:
-            leaf -= 1
+        size = int(self.chars[1])
+        leaf = self._leaf(size - 1)[0] if size else 0
         return leaf, len(self.leaves[leaf])
 
 
@@ -147,7 +161,16 @@ def counter(tokenizer: str) -> Callable[[list[str]], np.ndarray]:
 
     model = load(tokenizer)
 
+    @functools.lru_cache(REMEMBERED)
+    def short(text: str) -> int:
+        return int(whole([text])[0])
+
     def count(texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) <= SHORT:  # the region of an edit
+            return np.array([short(texts[0])])
+        return whole(texts)
+
+    def whole(texts: list[str]) -> np.ndarray:
         by_text, kinds, _, counts = model.kinds(texts)
         total = np.r_[0, np.cumsum(counts[kinds])]
         return np.diff(total[np.r_[0, np.cumsum(by_text)]])
