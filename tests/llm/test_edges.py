@@ -7,7 +7,7 @@ from schemaloom.llm import katz, line_dedup, mixing, packing, quality_classifier
 
 # Names that operators use inside.
 CLASH = ("h", "key", "fp", "d", "t", "row", "gone", "bucket", "k", "n", "id", "occ", "copy", "at", "chunk", "part", "blob", "root", "x", "score", "__may", "label")
-LONG = "word other\n" * 30_000
+LONG = "word other and some more of them\n" * 30_000
 ROWS = [(1, "a b c d e"), (None, "a b c d e"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (6, "a b c d e"), (6, "a b c d e"), (6, "another text of the same id"), (7, "é" * 300), (-8, "#!? | $")]
 
 
@@ -27,6 +27,9 @@ OPERATORS = {
     "mixing": lambda d: mixing.mix(d, mixing.tempered(d)),
     "tiff": lambda d: tiff.digests(d),
     "classifier": lambda d: quality_classifier.classify(d, labels(d.sparkSession, [(1, 0, 0), (2, None, 0), (6, 1, 0), (6, 1, 0)])),
+    "accepted": lambda d: quality_classifier.accepted(d, labels(d.sparkSession, [(1, 0, 0), (6, 1, 0)])),
+    "mixing_without_numbers": lambda d: mixing.mix(d, mixing.tempered(d), copy=None),
+    "packing_after_mixing": lambda d: packing.digests(packing.pack(mixing.mix(d, mixing.tempered(d), copy=None), queries.tokenizer())),
     "token_counts": lambda d: token_counts.token_counts(d, queries.tokenizer(), token_counts.cleaning_edits),
     "simhash": lambda d: simhash.near_duplicates(d),
     "representatives": lambda d: simhash.representatives(d),
@@ -51,13 +54,18 @@ def test_odd_rows(spark, name):
         kept = {(r.doc_id, r.text) for r in got}
         assert (1, "a b c d e") in kept and not {(None, "a b c d e"), (6, "a b c d e")} & kept
         assert len(kept) == len(got) and len({t for d, t in kept if not (t or "").strip()}) == 1
+    if name == "line_dedup":
+        assert {r.text for r in got if r.doc_id == 5} == {"word other and some more of them\n"}
+        assert {(r.doc_id, r.text) for r in got if not (r.text or "").strip(" \t\n")} >= {(2, None), (3, ""), (4, " \n\t ")}
+    if name == "accepted":
+        assert {(r.doc_id, r.text) for r in got} <= {*ROWS}
     if name == "tiff":
         assert len({tuple(r)[1:] for r in got if r.doc_id in (2, 3)}) == 1
     if name == "token_counts":
         assert all(r.n_tokens == 0 for r in got if r.doc_id in (2, 3, 4))
     if name == "katz":
         assert all(not r.held_out for r in got if r.doc_id is None) and all(r.n_tokens == 1 for r in got if r.doc_id in (2, 3, 4))
-    if name in ("line_dedup", "mixing", "representatives"):
+    if name in ("line_dedup", "mixing", "mixing_without_numbers", "accepted", "representatives"):
         assert all(r[c] == "clash" for r in got for c in CLASH if c != "copy")
 
 
@@ -70,3 +78,24 @@ def test_empty_table(spark, name):
 def test_same_rows_whatever_the_partitions(spark, name):
     one, many = (sorted(map(str, OPERATORS[name](table(spark, ROWS).repartition(n)).collect())) for n in (1, 5))
     assert one == many
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(id AS STRING) AS text", "'s' AS source")
+    got = mixing.mix(df, mixing.tempered(df))
+    assert abs(got.count() / 3000 - 1) < 0.1 and got.select("text").distinct().count() > 1500
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_many_lines_of_one_document(spark):
+    """Removal is linear: 160,000 repeated lines took over a minute when each was looked up in a list."""
+    df = spark.createDataFrame([(1, "\n".join(f"line number {i % 97} of a long text" for i in range(160_000)))], "doc_id long, text string")
+    (row,) = line_dedup.dedup_lines(df, removed="n").collect()
+    assert (row.n, row.text) == (159_999, "line number 0 of a long text")
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    table(spark, ROWS).select("doc_id", "text", "lang", "source").withColumn("n_chars", F.char_length("text")).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

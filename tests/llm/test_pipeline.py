@@ -37,16 +37,16 @@ def test_stages(spark, data, tmp_path):
     for d in sorted(before.index):
         lines = [x for x in before.text[d].split("\n")]
         left = after.text[d].split("\n")
-        assert set(left) <= set(lines) | {""} and [x for x in left if len(x.strip()) < 20 and x] == [x for x in lines if len(x.strip()) < 20 and x]
-        assert not any(x in seen for x in left if len(x.strip()) >= 20)
-        seen |= {x for x in lines if len(x.strip()) >= 20}
-    fps = {d: simhash.fingerprint(t, 5) for d, t in kept["lines"].text.items()}
-    root = {d: d for d in fps}
+        assert set(left) <= set(lines) | {""} and (left == [""] or [x for x in left if not x.strip()] == [x for x in lines if not x.strip()])
+        assert not any(x in seen for x in left if x.strip())
+        seen |= {x for x in lines if x.strip()}
+    sets = {d: frozenset(simhash.shingles(t, 5).tolist()) for d, t in kept["lines"].text.items()}
+    root = {d: d for d in sets}
     changed = True
     while changed:
         changed = False
-        for a in fps:
-            best = min(root[b] for b in fps if (fps[a] ^ fps[b]).bit_count() <= 7)
+        for a in sets:
+            best = min(root[b] for b in sets if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
             changed |= best != root[a]
             root[a] = best
     assert set(kept["copies"].index) == {d for d in root if root[d] == d}
