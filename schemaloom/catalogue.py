@@ -346,11 +346,12 @@ def json_type_histogram(spark, sf_dir):
 
 @query("""WITH RECURSIVE e(src, dst) AS (
     SELECT 'nation' || n_nationkey, 'region' || n_regionkey FROM nation UNION ALL SELECT 'region' || r_regionkey, 'world' FROM region
-    UNION ALL SELECT 'world', 'world' UNION ALL SELECT 'supplier' || s_suppkey, 'nation' || s_nationkey FROM supplier),
+    UNION ALL SELECT 'world', 'world' UNION ALL SELECT 'supplier' || s_suppkey, 'nation' || s_nationkey FROM supplier
+    UNION ALL SELECT 'step' || s_suppkey, 'step' || s_suppkey + 1 FROM supplier),
   r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
   SELECT src, dst FROM r WHERE src <> dst""")
 def component_closure(spark, sf_dir):
-    """All that a node needs, over the references between keys."""
+    """All that a node needs, over the references between keys, and over a chain as long as the table of suppliers."""
 
     def edges(name: str, src: str, src_key: str, dst: str, dst_key: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(src), F.col(src_key)).alias("src"), F.concat(F.lit(dst), F.col(dst_key)).alias("dst"))
@@ -358,7 +359,9 @@ def component_closure(spark, sf_dir):
     world = table(spark, sf_dir, "region").select(F.concat(F.lit("region"), "r_regionkey").alias("src"), F.lit("world").alias("dst"))
     loop = spark.sql("SELECT 'world' AS src, 'world' AS dst")
     all_ = edges("nation", "nation", "n_nationkey", "region", "n_regionkey").union(world).union(loop).union(edges("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
-    return schemas.closure(all_)
+    s = F.col("s_suppkey")
+    chain = table(spark, sf_dir, "supplier").select(F.concat(F.lit("step"), s).alias("src"), F.concat(F.lit("step"), s + 1).alias("dst"))
+    return schemas.closure(all_.union(chain))
 
 
 SAMPLES = {
@@ -543,11 +546,23 @@ def expected_failure_classify(spark, sf_dir):
     return reports.classify(_attempts(spark, sf_dir), expected).select("event_id", "classification")
 
 
-@query("""SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || n END AS unique_name
-  FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS n FROM part)""")
+NAMES = """SELECT p_partkey, 'N' || p_partkey % 40 || CASE WHEN p_partkey % 3 = 0 THEN '_2' WHEN p_partkey % 7 = 0 THEN '_3' WHEN p_partkey % 11 = 0 THEN '_2_2' ELSE '' END AS name FROM part"""
+
+
+@query(rf"""WITH RECURSIVE names AS ({NAMES}),
+  ranked AS (SELECT *, lower(name) AS k, regexp_replace(lower(name), '(_\d+)+$', '') AS family, row_number() OVER (PARTITION BY regexp_replace(lower(name), '(_\d+)+$', '') ORDER BY p_partkey) AS i FROM names),
+  run(family, i, p_partkey, unique_name, seen) AS (
+    SELECT DISTINCT family, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, MAP([''], [0::BIGINT]) FROM ranked
+    UNION ALL
+    SELECT family, i, p_partkey, CASE WHEN c > 1 THEN name || '_' || c ELSE name END, map_concat(seen, CASE WHEN c > 1 THEN MAP([k, k || '_' || c], [c, 1::BIGINT]) ELSE MAP([k], [c]) END)
+    FROM (SELECT r.*, run.seen, (coalesce(run.seen[r.k], 0) + 1)::BIGINT AS c FROM run JOIN ranked r ON r.family = run.family AND r.i = run.i + 1))
+  SELECT p_partkey, unique_name FROM run WHERE i > 0""")
 def collision_numbering(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return reports.numbered(df, "p_brand", "p_partkey").select("p_partkey", "unique_name")
+    """Names that clash with one another and with given numbers. The SQL goes row by row, with all counts at hand."""
+    n = F.col("p_partkey")
+    end = F.when(n % 3 == 0, "_2").when(n % 7 == 0, "_3").when(n % 11 == 0, "_2_2").otherwise("")
+    names = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("N"), (n % 40).cast("string"), end).alias("name"))
+    return reports.numbered(names, "name", "p_partkey").select("p_partkey", "unique_name")
 
 
 @query("SELECT page_id, url FROM pages ORDER BY md5(concat_ws(':', '42', url)), url LIMIT 20")

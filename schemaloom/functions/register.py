@@ -1,4 +1,8 @@
-"""SQL functions over JSON text: convert_schema, rehydrate_json, list_components, extract_component, patch_schema."""
+"""SQL functions over JSON text: conversion, components, patches and the strict audit.
+
+Rehydration is no SQL function: a codec is compiled to column expressions, so `operators.rehydrate.rehydrate` takes it
+as a constant and a view of its result serves SQL.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
 from ..plans.audit import violations
-from ..plans.components import extract_component, list_components
+from ..plans.components import convert_all, extract_component, list_components
 from ..plans.convert import convert
 from ..plans.describe import text_of
 from ..plans.errors import PlanError
@@ -24,6 +28,13 @@ def _told(make) -> str:
         return text_of({"error": e.as_dict()})
 
 
+def _all(schema: str, options: dict | None) -> dict:
+    """The whole schema's plan and those of its components; an error stands in its component's place."""
+    full, parts = convert_all(schema, options)
+    each = [{"pointer": c.pointer, "error": c.error} if c.plan is None else {"pointer": c.pointer, **c.plan.as_dict()} for c in parts]
+    return {"full": full.as_dict(), "components": each}
+
+
 def register(spark: SparkSession) -> list[str]:
     @pandas_udf("string")
     def convert_schema(schema: pd.Series, options: pd.Series) -> pd.Series:
@@ -45,7 +56,11 @@ def register(spark: SparkSession) -> list[str]:
     def strict_violations(schema: pd.Series) -> pd.Series:
         return schema.map(lambda s: None if s is None else [{"path": p, "rule_id": r, "message": m} for p, r, m in violations(json.loads(s))])
 
-    found = {"convert_schema": convert_schema, "list_components": schema_components, "extract_component": schema_component, "patch_schema": patch_schema, "strict_violations": strict_violations}
+    @pandas_udf("string")
+    def convert_components(schema: pd.Series, options: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else _told(lambda s=s, o=o: _all(s, json.loads(o) if o else None)) for s, o in zip(schema, options, strict=True)], dtype=object)
+
+    found = {"convert_schema": convert_schema, "convert_all_components": convert_components, "list_components": schema_components, "extract_component": schema_component, "patch_schema": patch_schema, "strict_violations": strict_violations}
     for name, function in found.items():
         spark.udf.register(name, function)
     return sorted(found)

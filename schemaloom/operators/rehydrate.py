@@ -15,6 +15,7 @@ import json
 import re
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,32 @@ class Node:
     def bare(self) -> bool:
         return not (self.members or self.patterns or self.places or self.items)
 
+    @staticmethod
+    def merged(nodes: list[Node]) -> Node:
+        """What happens to a value that several paths lead to, in the codec's order."""
+        if len(nodes) == 1:
+            return nodes[0]
+
+        def group(name: str) -> dict:
+            keys = dict.fromkeys(k for n in nodes for k in getattr(n, name))
+            return {k: Node.merged([getattr(n, name)[k] for n in nodes if k in getattr(n, name)]) for k in keys}
+
+        items = [n.items for n in nodes if n.items]
+        own = sorted((t for n in nodes for t in n.own), key=lambda t: t["at"])
+        return Node(own, group("members"), group("patterns"), group("places"), Node.merged(items) if items else None)
+
+    def named(self, name: str) -> Node | None:
+        """What happens to the member of that name: by its name and by every pattern that matches it."""
+        found = [self.members[name]] if name in self.members else []
+        found += [n for p, n in self.patterns.items() if re.search(p, name)]
+        return Node.merged(found) if found else None
+
+    def matched(self) -> list[tuple[list[str], Node]]:
+        """Sets of patterns and what happens to a member that matches them, the larger sets first."""
+        names = list(self.patterns)
+        sets = [c for n in range(len(names), 0, -1) for c in combinations(names, n)]
+        return [([*c], Node.merged([self.patterns[p] for p in c])) for c in sets]
+
 
 def usable(pattern: str) -> bool:
     """Whether a pattern means the same here: no look-around, no references back."""
@@ -91,17 +118,24 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern if re.search(r"\\[dDwWsSbB]", pattern) else pattern
 
 
+def matches(k: Column, patterns: list[str]) -> Column:
+    out = k.rlike(java_pattern(patterns[0]))
+    for p in patterns[1:]:
+        out = out & k.rlike(java_pattern(p))
+    return out
+
+
 # -- first step: transforms ------------------------------------------------------------------------------------------
 
 
 def _tree(codec: Codec) -> Node:
     root = Node()
-    for t in expanded(codec):
+    for n, t in enumerate(expanded(codec)):
         segments = t.get("segments") if "segments" in t else split(t["path"])
         if t["type"] == "nullable_optional" and segments[-2:-1] != ["properties"]:
             continue
         if (node := root.at(segments)) is not None:
-            node.own.append(t)
+            node.own.append({**t, "at": n})
     return root
 
 
@@ -173,16 +207,17 @@ class Undo:
         return J.let(J.as_map(v), lambda m: F.when(m.isNull(), other).otherwise(J.let(F.map_entries(m), lambda e: self._object(node, e, spread, path))))
 
     def _member(self, node: Node, k: Column, v: Column, path: str) -> Column:
-        """What becomes of a member: by its name, else by the first pattern that its name matches."""
+        """What becomes of a member: by its name and by every pattern that its name matches."""
         plain = self.result(J.text(v), J.none_of(J.ERROR))
         out = None
-        for name, child in node.members.items():
+        for name in node.members:
+            child = node.named(name)
             got = self.value(child, v, f"{path}/{name}")
             if any(t["type"] == "nullable_optional" and not t.get("originalRequired") for t in child.own):
                 got = F.when(F.is_variant_null(v), self.result(F.lit(None).cast("string"), J.none_of(J.ERROR))).otherwise(got)
             out = F.when(k == name, got) if out is None else out.when(k == name, got)
-        for pattern, child in node.patterns.items():
-            hit, got = k.rlike(java_pattern(pattern)), self.value(child, v, path)
+        for patterns, child in node.matched():
+            hit, got = matches(k, patterns), self.value(child, v, path)
             out = F.when(hit, got) if out is None else out.when(hit, got)
         return plain if out is None else out.otherwise(plain)
 
@@ -275,13 +310,13 @@ class Settle:
             if d["constraint"] == "pattern" and not (isinstance(d["value"], str) and usable(d["value"])):
                 why = f"constraint 'pattern' value ({text_of(d['value'])}) is not a string and cannot be validated" if not isinstance(d["value"], str) else f"pattern {json.dumps(d['value'])} cannot be evaluated"
                 self.general.append(warning(whole, d["path"], "pattern", F.lit(why), "constraint_unevaluable"))
-        for d in codec.dropped:
+        for n, d in enumerate(codec.dropped):
             if d["constraint"] in CONDITIONS:
                 why = f"constraint '{d['constraint']}' was dropped during compilation and cannot be validated"
                 self.general.append(warning(whole, d["path"], d["constraint"], F.lit(why), "constraint_unevaluable"))
             elif d["constraint"] in CHECKED and (node := self.root.at(split(d["path"]))) is not None:
                 if d["constraint"] != "pattern" or isinstance(d["value"], str) and usable(d["value"]):
-                    node.own.append(d)
+                    node.own.append({**d, "at": n})
 
     def result(self, j: Column, *groups: Column) -> Column:
         return F.struct(j.alias("j"), *(g.cast(f"array<{J.WARNING}>").alias(n) for g, n in zip(groups, "abc", strict=True)))
@@ -463,10 +498,10 @@ class Settle:
             nothing = J.none_of(J.WARNING)
             out = None
             for name in names:
-                got = self.value(node.members.get(name), fields.get(name), m["value"], below)
+                got = self.value(node.named(name), fields.get(name), m["value"], below)
                 out = F.when(m["key"] == name, got) if out is None else out.when(m["key"] == name, got)
-            for pattern, child in node.patterns.items():
-                hit, got = m["key"].rlike(java_pattern(pattern)), self.value(child, None, m["value"], below)
+            for patterns, child in node.matched():
+                hit, got = matches(m["key"], patterns), self.value(child, None, m["value"], below)
                 out = F.when(hit, got) if out is None else out.when(hit, got)
             plain = self.result(J.text(m["value"]), nothing, nothing, nothing)
             return plain if out is None else out.otherwise(plain)

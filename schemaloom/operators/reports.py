@@ -105,9 +105,34 @@ def failures_by_stage(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, order: str, column: str = "unique_name") -> DataFrame:
-    """Names that clash, whatever their case, get a number in the order of rows: a, a_2, a_3."""
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return df.withColumn(column, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    """Names that clash, whatever their case, get a number in the order of rows: a, a_2, a_3.
+
+    A name that is given so is taken from then on: after a, a comes a_2, and a row that is called a_2 itself becomes
+    a_2_2. As in the original, a count starts anew from one whenever its name is given to another. So counts of a_2
+    depend on those of a, and those of a_2_2 on a_2: names are numbered by how many numbers they end in, a window for
+    each. A name without clashes or numbers costs one window; a window over one name streams its rows.
+    """
+    key = F.lower(F.col(name))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(name).alias("name"), F.col(order).alias("o"), key.alias("k"))
+    rows = rows.withColumn("level", F.coalesce(F.size(F.split(F.regexp_extract("k", r"((?:_[0-9]+)*)$", 1), "_")) - 1, F.lit(0)))
+    levels = [r[0] for r in rows.select("level").distinct().orderBy("level").collect()]  # as many as numbers at the end of a name
+    parts, given = [], None
+    for level in range(max(levels, default=0) + 1):
+        own = rows.filter(F.col("level") == level).select("row", "name", "o", "k", F.lit(1).alias("own"))
+        if given is not None:
+            taken = given.join(own.select("k").distinct(), "k", "left_semi")
+            own = own.unionByName(taken.select("k", "o", F.lit(0).alias("own")), allowMissingColumns=True)
+        in_order = Window.partitionBy("k").orderBy("o", "name")
+        marked = own.withColumn("since", F.sum(1 - F.col("own")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        within = Window.partitionBy("k", "since").orderBy("o", "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = marked.withColumn("n", F.sum("own").over(within) + (F.col("since") > 0).cast("int")).filter("own = 1")
+        parts.append(counted.select("row", "name", "n"))
+        given = counted.filter("n > 1").select(F.concat("k", F.lit("_"), F.col("n").cast("string")).alias("k"), "o")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    unique = F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("n").cast("string")))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c != column), F.when(F.col("name").isNotNull(), unique).alias(column))
 
 
 def chosen(df: DataFrame, name: str, n: int, seed: int = 42) -> DataFrame:

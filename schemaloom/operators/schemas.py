@@ -7,14 +7,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.audit import violations
 from ..plans.components import Graph, convert_all, extract_component, list_components
 from ..plans.convert import convert, parsed
 from ..plans.describe import text_of
-from ..plans.errors import PlanError
+from ..plans.errors import DepthExceeded, PlanError
 from ..plans.options import Options
 from ..plans.tree import ordered
+from .lineage import checkpointed
 
 
 def _each(df: DataFrame, schema: str, key: str, columns: list[str], rows) -> DataFrame:
@@ -96,15 +98,21 @@ def converted_components(df: DataFrame, options: dict | Options | None = None, s
     return _each(df, schema, key, ["pointer string", "converted string", "codec string", "original string", "dependency_count int", "error string"], rows)
 
 
-def closure(edges: DataFrame, depth: int = 20) -> DataFrame:
-    """src, dst: all that can be reached, a node itself left out. One recursive query; paths don't visit a node twice."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__edges")
-    return spark.sql(
-        f"""WITH RECURSIVE reach(src, dst, path) AS (
-          SELECT src, dst, array(src, dst) FROM __edges WHERE src <> dst
-          UNION ALL
-          SELECT r.src, e.dst, array_append(r.path, e.dst) FROM reach r JOIN __edges e ON r.dst = e.src
-          WHERE NOT array_contains(r.path, e.dst) AND size(r.path) <= {depth})
-        SELECT DISTINCT src, dst FROM reach WHERE src <> dst"""
-    )
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """src, dst: all that can be reached, a node itself left out.
+
+    Pairs of up to n steps are joined with those of up to 2 n until none is new, so rounds follow the logarithm of the
+    depth, and cycles and paths that meet again cost nothing beyond their pairs. Each round is cut off in the shared
+    folder. If something is more than max_depth steps away at the least, DepthExceeded is raised. Null ends are left out.
+    """
+    near = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("steps", F.lit(1))
+    known = new = checkpointed(near)
+    while not new.isEmpty():
+        first = new.select("src", F.col("dst").alias("__by"), F.col("steps").alias("__steps"))
+        then = known.select(F.col("src").alias("__by"), "dst", "steps")
+        met = first.join(then, "__by").filter("src <> dst").groupBy("src", "dst").agg(F.min(F.col("__steps") + F.col("steps")).alias("steps"))
+        new = checkpointed(met.join(known, ["src", "dst"], "left_anti").select("src", "dst", "steps"))
+        known = known.union(new)
+    if max_depth is not None and (deepest := known.filter(F.col("steps") > max_depth).orderBy("steps", "src").first()):
+        raise DepthExceeded(f"{deepest['dst']} is {deepest['steps']} steps from {deepest['src']}, more than {max_depth}", deepest["src"])
+    return known.select("src", "dst")
