@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema_queries
 from .functions import json_text as J
 from .operators import reports, schemas
 from .operators.generate import results
@@ -575,3 +576,7 @@ def chosen_sample(spark, sf_dir):
   (max({'v': value, 'i': event_id})).i AS slowest FROM events GROUP BY event_type""")
 def timing_by_group(spark, sf_dir):
     return reports.timing(table(spark, sf_dir, "events"), "event_id", "value", "event_type")
+
+
+for _name, (_sql, _function) in schema_queries.FOUND.items():
+    QUERIES[_name], ORACLES[_name] = _function, _sql
