@@ -10,6 +10,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -51,21 +52,30 @@ def retrying(send: Callable[[Request], str], tries: int = 3, wait: float = 1.0,
     return run
 
 
-def call(df: DataFrame, transport: Callable[[], Transport], request: str = "request", response: str = "raw_response") -> DataFrame:
-    """Adds the responses. A request that fails gives a NULL response; the job goes on."""
+def call(df: DataFrame, transport: Callable[[], Transport], request: str = "request", response: str = "raw_response", failure: str = "transport_error") -> DataFrame:
+    """Adds the responses, and why there is none. Whatever a transport raises fails one request; the job goes on.
+
+    A transport is given all requests of a batch, so that it may send several at once. It answers in their order; if it
+    raises, the first request without an answer has failed, and it is called again with those that follow.
+    """
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField(response, T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(response, T.StringType()), T.StructField(failure, T.StringType())])
 
     def run(batches):
         send = transport()
         for batch in batches:
-            out = []
-            for r in batch[request].to_pylist():
+            todo = [{**r, "headers": dict(r["headers"] or [])} for r in batch[request].to_pylist()]
+            out: list[tuple[str | None, str | None]] = []
+            while len(out) < len(todo):
                 try:
-                    out.append(next(iter(send([{**r, "headers": dict(r["headers"] or [])}]))))
-                except TransientError:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, response])
+                    for answer in islice(send(todo[len(out) :]), len(todo) - len(out)):
+                        out.append((answer, None))
+                    if len(out) < len(todo):
+                        out.append((None, "the transport gave no response"))
+                except Exception as e:  # noqa: BLE001
+                    out.append((None, f"{type(e).__name__}: {e}"))
+            columns = [pa.array([o[i] for o in out], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, response, failure])
 
     return df.mapInArrow(run, schema)
 
@@ -75,11 +85,17 @@ def requests(df: DataFrame, plan: Plan, wire: Wire, endpoint: Endpoint, prompt:
 
 
 def results(df: DataFrame, plan: Plan, wire: Wire, response: str = "raw_response", validate: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
-    """From raw responses: content, data, warnings, error, validation_errors. No Python runs unless validate is set."""
+    """From raw responses: content, data, warnings, error, validation_errors. No Python runs unless validate is set.
+
+    Where there is a column transport_error, what it tells is the row's error.
+    """
     out = df.withColumn("__x", wire.extract(F.col(response)))
     out = rehydrate(out.withColumn("content", F.col("__x.content")), plan.codec, plan.original, "content", mode=mode)
     parsing = F.struct(F.lit("response_parsing_error").alias("code"), F.col("__x.error").alias("message"), F.lit("/").alias("path")).cast(J.ERROR)
     out = out.withColumn("error", F.when(F.col("__x.error").isNotNull(), parsing).otherwise(F.col("error"))).drop("__x")
+    if "transport_error" in df.columns:
+        failed = F.struct(F.lit("transport_error").alias("code"), F.col("transport_error").alias("message"), F.lit("/").alias("path")).cast(J.ERROR)
+        out = out.withColumn("error", F.when(F.col("transport_error").isNotNull(), failed).otherwise(F.col("error")))
     return validated(out, plan.original) if validate else out
 
 

@@ -143,6 +143,11 @@ def _error(message: Column, path: str) -> Column:
     return F.struct(F.lit("rehydration_error").alias("code"), message.alias("message"), F.lit(path).alias("path"))
 
 
+def _changes(node: Node) -> bool:
+    """Whether anything is undone at a value or inside it."""
+    return bool(node.own) or any(map(_changes, [*node.members.values(), *node.patterns.values(), *node.places.values(), *([node.items] if node.items else [])]))
+
+
 class Undo:
     """Compiles the transforms. A value becomes a struct: j, its JSON text; e, errors; x, the members of a restored map."""
 
@@ -570,9 +575,13 @@ def _deep_plans(df: DataFrame):
 def _rehydrate(df: DataFrame, codec: Codec, original, column: str, data: str, warnings: str, error: str, mode: str, lenient: bool) -> DataFrame:
     raw = F.col(column)
     bad = F.struct(F.lit("json_parse_error").alias("code"), F.concat(F.lit("the document is not JSON: "), F.left(raw, F.lit(100))).alias("message"), F.lit("/").alias("path"))
-    step = df.withColumn("__v", F.try_parse_json(raw) if lenient else J.strict_parse(raw)).withColumn("__u", F.when(F.col("__v").isNotNull(), undo(F.col("__v"), codec)))
-    first = F.when(raw.isNotNull() & F.col("__v").isNull(), bad.cast(J.ERROR)).otherwise(F.get(F.col("__u.e"), F.lit(0)))
-    step = step.withColumn(error, first).withColumn("__w", F.try_parse_json(F.col("__u.j")))
+    step = df.withColumn("__v", F.try_parse_json(raw) if lenient else J.strict_parse(raw))
+    unread = F.when(raw.isNotNull() & F.col("__v").isNull(), bad.cast(J.ERROR))
+    if _changes(_tree(codec)):
+        step = step.withColumn("__u", F.when(F.col("__v").isNotNull(), undo(F.col("__v"), codec)))
+        step = step.withColumn(error, unread.otherwise(F.get(F.col("__u.e"), F.lit(0)))).withColumn("__w", F.try_parse_json(F.col("__u.j")))
+    else:  # nothing to undo: the document is settled as it was read
+        step = step.withColumn(error, unread).withColumn("__w", F.col("__v"))
     if mode == "FAILFAST":
         step = step.withColumn("__w", F.when(F.col(error).isNull(), F.col("__w")).otherwise(F.raise_error(F.col(f"{error}.message")).cast("variant")))
     if mode == "DROPMALFORMED":

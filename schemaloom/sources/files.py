@@ -73,3 +73,24 @@ def write_components(df: DataFrame, path: str, mode: str = "errorifexists") -> N
     """A table of converted components, a partition a folder of its pointer."""
     folder = F.when(F.col("pointer") == "#", "_root").otherwise(F.regexp_replace(pointer_folder(F.col("pointer")), "/", "."))
     df.withColumn("component", folder).write.mode(mode).partitionBy("component").parquet(path)
+
+
+def write_component_files(df: DataFrame, path: str, title: str = "", mode: str = "errorifexists") -> None:
+    """The converted components of one schema as JSON files: schema, codec and original of each, and a manifest.
+
+    A component's files lie in components/component=.../file=...; the manifest names them, and `read_manifest` reads it.
+    Components without a plan are left out.
+    """
+    folder = F.when(F.col("pointer") == "#", "_root").otherwise(F.regexp_replace(F.regexp_replace("pointer", "^#/", ""), "[^A-Za-z0-9_-]", "."))
+    planned = df.filter("converted IS NOT NULL").withColumn("component", folder)
+    files = {"schema": "converted", "codec": "codec", "original": "original"}
+    each = F.inline(F.array(*(F.struct(F.lit(f).alias("file"), F.col(c).alias("value")) for f, c in files.items())))
+    planned.select("component", each).write.mode(mode).partitionBy("component", "file").text(f"{path}/components")
+    place = lambda f: F.concat(F.lit("components/component="), F.col("component"), F.lit(f"/file={f}"))
+    entry = F.struct(
+        F.col("component").alias("name"), "pointer", place("schema").alias("schemaPath"), place("codec").alias("codecPath"), place("original").alias("originalPath"),
+        F.col("dependency_count").cast("bigint").alias("dependencyCount"),
+    )
+    listed = planned.agg(F.array_sort(F.collect_list(entry)).alias("components"))  # the components of one schema
+    told = F.struct(F.lit(title).alias("title"), F.current_timestamp().cast("string").alias("generated_at"), "components")
+    listed.select(F.to_json(told).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/manifest")

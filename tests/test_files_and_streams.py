@@ -59,16 +59,33 @@ def test_generate_with_a_transport_that_fails_at_first(spark):
             body = json.loads(request["body"])
             assert request["headers"]["Content-Type"] == "application/json" and request["url"] == "https://example.org"
             prompt = body["messages"][0]["content"]
+            if prompt == "broken":
+                calls.pop()
+                raise RuntimeError("the line is down")
             if prompt == "never" or len(calls) % 2:
                 raise TransientError
             return json.dumps({"choices": [{"message": {"content": DOCUMENTS[0] if prompt == "zero" else DOCUMENTS[1]}}]})
 
         return retrying(send, 3, 0, sleep=lambda s: None)
 
-    df = spark.createDataFrame([("zero",), ("one",), ("never",)], "prompt string").coalesce(1)
+    df = spark.createDataFrame([("zero",), ("broken",), ("one",), ("never",)], "prompt string").coalesce(1)
     got = {r.prompt: r for r in generate(df, SCHEMA, WIRES["chat"], Endpoint("https://example.org", "m"), transport).collect()}
     assert got["zero"].data == '{"m":{"a":"b"},"n":3}' and got["zero"].validation_errors == [] and len(got["zero"].warnings) == 1
     assert got["one"].data == '{"m":{},"n":5}' and got["never"].data is None and got["never"].raw_response is None
+    assert (got["broken"].error.code, got["broken"].error.message) == ("transport_error", "RuntimeError: the line is down") and got["one"].error is None
+    assert got["never"].error.code == "transport_error" and got["broken"].data is None
+
+
+def test_component_files_and_their_manifest(spark, tmp_path):
+    schema = {"title": "All", "type": "object", "properties": {"a": {"$ref": "#/$defs/A"}}, "$defs": {"A": {"type": "string"}, "B/C": {"type": "integer"}}}
+    parts = schemas.converted_components(spark.createDataFrame([("all", json.dumps(schema))], "name string, schema string"))
+    files.write_component_files(parts, str(tmp_path / "out"), "All")
+    found = {r.pointer: r for r in files.read_manifest(spark, str(tmp_path / "out" / "manifest")).collect()}
+    assert set(found) == {"#", "#/$defs/A", "#/$defs/B~1C"}
+    for r in found.values():
+        for path in (r.schemaPath, r.codecPath, r.originalPath):
+            assert json.loads(spark.read.text(str(tmp_path / "out" / path)).first().value) is not None
+    assert json.loads(spark.read.text(str(tmp_path / "out" / found["#/$defs/A"].originalPath)).first().value)["type"] == "string"
 
 
 def test_sql_functions(spark):
