@@ -22,7 +22,7 @@ def test_entry_works_without_the_training_data_package(data):
         "import sys\n"
         "class Gone:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
-        "        if name.startswith('schemaloom.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name)\n"
+        "        if name.startswith('schemaloom.llm') or name == 'corpus_pipeline': raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'rehydrate_events' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())\n"
