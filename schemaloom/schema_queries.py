@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from .operators import schemas
 from .operators.providers import WIRES, Endpoint
 
-K, SIZE = F.col("p_partkey"), F.col("p_size")
+
+def key() -> Column:
+    return F.col("p_partkey")
+
+
+def size() -> Column:
+    return F.col("p_size")
 
 
 def text(*parts) -> Column:
@@ -33,7 +39,7 @@ def members(*pairs: tuple[Column | None, Column]) -> Column:
 
 def parts(spark, sf_dir: str, schema: Column) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_brand")
-    return found.select(K.cast("bigint").alias("name"), schema.alias("schema"))
+    return found.select(key().cast("bigint").alias("name"), schema.alias("schema"))
 
 
 def planned(spark, sf_dir: str, schema: Column, **options) -> DataFrame:
@@ -57,13 +63,15 @@ def of(path: str, column: str = "converted") -> Column:
     return F.get_json_object(column, path)
 
 
-SHAPES = (
-    (SIZE % 2 == 1, F.lit('{"type":"object","additionalProperties":{"type":"string"}}')),
-    (SIZE % 3 == 0, F.lit("{}")),
-    (K % 5 == 0, F.lit('{"enum":["a",1]}')),
-    (K % 4 == 1, F.lit("true")),
-    (None, F.lit('{"type":"string"}')),
-)
+def shapes() -> tuple:
+    return (
+        (size() % 2 == 1, F.lit('{"type":"object","additionalProperties":{"type":"string"}}')),
+        (size() % 3 == 0, F.lit("{}")),
+        (key() % 5 == 0, F.lit('{"enum":["a",1]}')),
+        (key() % 4 == 1, F.lit("true")),
+        (None, F.lit('{"type":"string"}')),
+    )
+
 
 #: name -> (SQL, function)
 FOUND: dict = {}
@@ -80,7 +88,7 @@ def query(sql: str):
 @query("""SELECT p_partkey::BIGINT AS name, greatest(p_size, p_partkey % 30)::BIGINT AS minimum, least(60 + p_partkey % 17, 60 + p_size % 13)::BIGINT AS maximum, 'integer' AS kind FROM part""")
 def schema_all_of_bounds(spark, sf_dir):
     """Bounds and types of all branches are intersected, then recorded as dropped."""
-    n = text('{"allOf":[{"type":"number","minimum":', SIZE, '},{"type":"integer","minimum":', K % 30, ',"maximum":', 60 + K % 17, '}],"maximum":', 60 + SIZE % 13, "}")
+    n = text('{"allOf":[{"type":"number","minimum":', size(), '},{"type":"integer","minimum":', key() % 30, ',"maximum":', 60 + key() % 17, '}],"maximum":', 60 + size() % 13, "}")
     df = planned(spark, sf_dir, members((None, n)))
     bound = lambda word: F.max(F.when(F.col("constraint") == word, F.col("value").cast("bigint"))).alias(word)
     return dropped(df).groupBy("name").agg(bound("minimum"), bound("maximum")).join(df.select("name", of("$.properties.f0.type").alias("kind")), "name")
@@ -91,13 +99,13 @@ def schema_all_of_bounds(spark, sf_dir):
     || (CASE WHEN p_partkey % 5 = 0 THEN ['enum_stringify'] ELSE [] END) || (CASE WHEN p_partkey % 4 = 1 THEN ['json_string_parse'] ELSE [] END)) AS type) GROUP BY ALL""")
 def schema_transforms(spark, sf_dir):
     """Maps, opaque values and values of several types, wherever a row's schema has them."""
-    return transforms(planned(spark, sf_dir, members(*SHAPES))).groupBy("name", "type").agg(F.count("*").alias("n"))
+    return transforms(planned(spark, sf_dir, members(*shapes()))).groupBy("name", "type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT p_partkey::BIGINT AS name, '#/properties/' || f AS path, f < 'f' || (p_partkey % 6) AS is_required FROM part, (VALUES ('f0'), ('f1'), ('f2'), ('f3'), ('f4')) v(f) WHERE f >= 'f' || (p_partkey % 6)""")
 def schema_optional_members(spark, sf_dir):
     """Members that need not be there become nullable; the first p_partkey % 6 of five are required."""
-    needed = F.concat_ws(",", *(F.when(K % 6 > i, F.lit(f'"f{i}"')) for i in range(5)))
+    needed = F.concat_ws(",", *(F.when(key() % 6 > i, F.lit(f'"f{i}"')) for i in range(5)))
     fields = ",".join(f'"f{i}":{{"type":"string"}}' for i in range(5))
     df = transforms(planned(spark, sf_dir, text(f'{{"type":"object","properties":{{{fields}}},"required":[', needed, "]}")))
     return df.filter("type = 'nullable_optional'").select("name", "path", F.lit(False).alias("is_required"))
@@ -106,7 +114,7 @@ def schema_optional_members(spark, sf_dir):
 @query("""SELECT p_partkey::BIGINT AS name, 1 + p_partkey % 8 AS depth, (p_partkey % 8 >= 5)::INTEGER AS cut, CASE WHEN p_partkey % 8 >= 5 THEN '#' || repeat('/properties/a', 5) END AS path FROM part""")
 def schema_depth(spark, sf_dir):
     """Schemas of one to eight levels: beyond the budget of a strict target a string stands for the rest."""
-    depth = (1 + K % 8).cast("int")
+    depth = (1 + key() % 8).cast("int")
     schema = F.concat(F.repeat(F.lit('{"type":"object","required":["a"],"properties":{"a":'), depth), F.lit('{"type":"string"}'), F.repeat(F.lit("}}"), depth))
     df = planned(spark, sf_dir, schema)
     cut = transforms(df).groupBy("name").agg(F.max("path").alias("path"), F.count("*").cast("int").alias("cut"))
@@ -117,7 +125,7 @@ def schema_depth(spark, sf_dir):
 @query("""SELECT p_partkey::BIGINT AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'result' END AS wrapper, CASE p_partkey % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'array' ELSE 'string' END AS kind FROM part""")
 def schema_roots(spark, sf_dir):
     """Roots that are no object are put into one."""
-    schema = F.when(K % 3 == 0, members((None, F.lit('{"type":"string"}')))).when(K % 3 == 1, F.lit('{"type":"array","items":{"type":"string"}}')).otherwise(F.lit('{"type":"string"}'))
+    schema = F.when(key() % 3 == 0, members((None, F.lit('{"type":"string"}')))).when(key() % 3 == 1, F.lit('{"type":"array","items":{"type":"string"}}')).otherwise(F.lit('{"type":"string"}'))
     df = planned(spark, sf_dir, schema)
     wrapper = F.get_json_object("codec", "$.transforms[0].wrapperKey")
     return df.select("name", wrapper.alias("wrapper"), F.when(wrapper.isNull(), of("$.type")).otherwise(of("$.properties.result.type")).alias("kind"))
@@ -126,8 +134,8 @@ def schema_roots(spark, sf_dir):
 @query("""SELECT p_partkey::BIGINT AS name, CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'integer' WHEN 2 THEN 'number' ELSE 'boolean' END AS kind, p_brand AS value, '["' || p_brand || '"]' AS listed FROM part""")
 def schema_references_and_constants(spark, sf_dir):
     """References are replaced by what they refer to, through either word for definitions; a constant becomes a list of one."""
-    kind = F.when(K % 4 == 0, "string").when(K % 4 == 1, "integer").when(K % 4 == 2, "number").otherwise("boolean")
-    word = F.when(SIZE % 2 == 0, "$defs").otherwise("definitions")
+    kind = F.when(key() % 4 == 0, "string").when(key() % 4 == 1, "integer").when(key() % 4 == 2, "number").otherwise("boolean")
+    word = F.when(size() % 2 == 0, "$defs").otherwise("definitions")
     schema = text('{"type":"object","required":["t","c"],"properties":{"t":{"$ref":"#/', word, '/T"},"c":{"const":"', F.col("p_brand"), '"}},"', word, '":{"T":{"type":"', kind, '"}}}')
     df = planned(spark, sf_dir, schema)
     value = dropped(df).filter("constraint = 'const'").select("name", "value")
@@ -137,8 +145,8 @@ def schema_references_and_constants(spark, sf_dir):
 @query("""SELECT p_partkey::BIGINT AS name, (2 + p_partkey % 3)::BIGINT AS branches, (1 + p_size % 3)::BIGINT AS kinds FROM part""")
 def schema_unions(spark, sf_dir):
     """oneOf becomes anyOf, and a list of types becomes branches, or stays one type."""
-    one = F.concat_ws(",", *(F.when(K % 3 >= i - 2, F.lit(f'{{"type":"{t}"}}')) for i, t in enumerate(("string", "integer", "boolean", "null"), 1)))
-    kinds = F.concat_ws(",", *(F.when(SIZE % 3 >= i, F.lit(f'"{t}"')) for i, t in enumerate(("string", "integer", "boolean"))))
+    one = F.concat_ws(",", *(F.when(key() % 3 >= i - 2, F.lit(f'{{"type":"{t}"}}')) for i, t in enumerate(("string", "integer", "boolean", "null"), 1)))
+    kinds = F.concat_ws(",", *(F.when(size() % 3 >= i, F.lit(f'"{t}"')) for i, t in enumerate(("string", "integer", "boolean"))))
     df = planned(spark, sf_dir, members((None, text('{"oneOf":[', one, "]}")), (None, text('{"type":[', kinds, "]}"))))
     count = lambda path: F.size(F.from_json(of(path), "array<struct<type string>>")).cast("bigint")
     union = of("$.properties.f1.anyOf")
@@ -158,19 +166,19 @@ def schema_audit(spark, sf_dir):
     """What a strict target refuses, by row: a banned keyword each, open objects, nodes without a type, arrays without items, references."""
     banned = F.lit(None)
     for i, (word, value) in enumerate(BANNED.items()):
-        banned = F.when(K % len(BANNED) == i, F.lit(f'"{word}":{value}')).otherwise(banned)
-    closed = F.when(SIZE % 2 == 0, F.lit("")).otherwise(F.lit('"additionalProperties":false,'))
-    fields = F.concat_ws(",", F.lit('"s":{"type":"string"}'), F.when(SIZE % 3 == 0, F.lit('"u":{"title":"x"}')), F.when(SIZE % 5 == 0, F.lit('"l":{"type":"array"}')), F.when(SIZE % 7 == 0, F.lit('"r":{"type":"string","$ref":"#"}')))
+        banned = F.when(key() % len(BANNED) == i, F.lit(f'"{word}":{value}')).otherwise(banned)
+    closed = F.when(size() % 2 == 0, F.lit("")).otherwise(F.lit('"additionalProperties":false,'))
+    fields = F.concat_ws(",", F.lit('"s":{"type":"string"}'), F.when(size() % 3 == 0, F.lit('"u":{"title":"x"}')), F.when(size() % 5 == 0, F.lit('"l":{"type":"array"}')), F.when(size() % 7 == 0, F.lit('"r":{"type":"string","$ref":"#"}')))
     return schemas.audited(parts(spark, sf_dir, text('{"type":"object",', closed, banned, ',"properties":{', fields, "}}"))).select("name", "rule_id")
 
 
 @query("""SELECT p_partkey::BIGINT AS name, (p_partkey % 7)::INTEGER AS dependency_count, CASE WHEN p_size % 4 = 0 THEN '["#/$defs/none"]' ELSE '[]' END AS missing_refs FROM part""")
 def schema_dependencies(spark, sf_dir):
     """A component at the head of a chain of p_partkey % 7 others, that ends in a reference to nothing or in a string."""
-    n = (K % 7).cast("int")
+    n = (key() % 7).cast("int")
     link = lambda i: F.concat(F.lit('"D'), i.cast("string"), F.lit('":{"type":"object","properties":{"x":{"$ref":"#/$defs/D'), (i + 1).cast("string"), F.lit('"}}}'))
     chain = F.when(n > 0, F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), link), ","), F.lit(","))).otherwise("")
-    last = F.when(SIZE % 4 == 0, F.lit('{"type":"object","properties":{"x":{"$ref":"#/$defs/none"}}}')).otherwise(F.lit('{"type":"string"}'))
+    last = F.when(size() % 4 == 0, F.lit('{"type":"object","properties":{"x":{"$ref":"#/$defs/none"}}}')).otherwise(F.lit('{"type":"string"}'))
     got = schemas.extracted(parts(spark, sf_dir, text('{"$defs":{', chain, '"D', n, '":', last, "}}")), "#/$defs/D0")
     return got.select("name", "dependency_count", "missing_refs")
 
@@ -179,14 +187,14 @@ def schema_dependencies(spark, sf_dir):
     {'constraint': 'minLength', 'value': (p_size % 5)::VARCHAR}, {'constraint': 'maxLength', 'value': (10 + p_size)::VARCHAR}, {'constraint': 'format', 'value': 'email'}]) AS c)""")
 def schema_dropped_bounds(spark, sf_dir):
     """Bounds of texts that a strict target doesn't know are recorded."""
-    s = text('{"type":"string","format":"email","minLength":', SIZE % 5, ',"maxLength":', 10 + SIZE, "}")
+    s = text('{"type":"string","format":"email","minLength":', size() % 5, ',"maxLength":', 10 + size(), "}")
     return dropped(planned(spark, sf_dir, members((None, s)))).select("name", "constraint", "value")
 
 
 @query("""SELECT p_partkey::BIGINT AS name, CASE WHEN p_size % 2 = 0 THEN 3 ELSE 0 END AS n, CASE WHEN p_size % 2 = 0 THEN '#/properties/_additional' END AS path FROM part""")
 def schema_more_members(spark, sf_dir):
     """Named members beside free ones: the free ones move to a member of their own, which is a nullable map."""
-    more = F.when(SIZE % 2 == 0, F.lit(',"additionalProperties":{"type":"integer"}')).otherwise(F.lit(',"additionalProperties":false'))
+    more = F.when(size() % 2 == 0, F.lit(',"additionalProperties":{"type":"integer"}')).otherwise(F.lit(',"additionalProperties":false'))
     df = planned(spark, sf_dir, text('{"type":"object","properties":{"a":{"type":"string"}},"required":["a"]', more, "}"))
     found = transforms(df).groupBy("name").agg(F.count("*").cast("int").alias("n"), F.max("path").alias("path"))
     return df.select("name").join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), "path")
