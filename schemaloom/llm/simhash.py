@@ -6,8 +6,9 @@ with at most one different bit share a variant; equal variants are joined and th
 
 Documents with the same fingerprint are one node from the start. Inside a bucket of equal variants the linked
 fingerprints are found by a search that drops what it has reached, so a dense group of n near copies costs about
-n comparisons and gives n - 1 links, never all pairs. Buckets beyond `block` fingerprints are dealt out in pairs of
-blocks, so that no task holds a bucket of unbounded size, and no link is lost.
+n comparisons and gives n - 1 links, never all pairs. Buckets beyond `block` fingerprints are split by pieces of the
+bits outside their segment, and what is still larger is dealt out in pairs of blocks, so that no task holds a bucket
+of unbounded size, and no link is lost.
 
 Texts: null is empty. Without a word the fingerprint is zero, and is linked like any other. A null id can't be the
 least id of a component: a component of null ids only has a null id. Repeated rows give repeated rows. Other
@@ -30,6 +31,8 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this size are compared side by side, larger ones searched.
 SMALL = 16
+#: Parts of a component's rows.
+SALTS = 16
 #: MinHash of the pipeline's stage: bands, and functions in each.
 BANDS, ROWS = 24, 5
 
@@ -71,15 +74,27 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _variants(segments: int) -> list[tuple[int, int]]:
-    """For each bit: the mask of its segment without that bit, signed."""
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _cuts(segments: int) -> list[tuple[int, int]]:
     cuts = [BITS * k // segments for k in range(segments + 1)]
-    masks = []
-    for bit in range(BITS):
-        lo, hi = next((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a <= bit < b)
-        mask = (((1 << hi) - (1 << lo)) & ~(1 << bit)) & ((1 << BITS) - 1)
-        masks.append((bit, mask - (1 << BITS) if mask >> 63 else mask))
-    return masks
+    return [*zip(cuts, cuts[1:], strict=False)]
+
+
+def _variants(segments: int) -> list[tuple[int, int, int]]:
+    """For each bit: its segment, and the mask of that segment without the bit, signed."""
+    return [(bit, k, _signed((((1 << hi) - (1 << lo)) & ~(1 << bit)))) for k, (lo, hi) in enumerate(_cuts(segments)) for bit in range(lo, hi)]
+
+
+def _pieces(segments: int, number: int) -> list[list[int]]:
+    """For each segment: masks of the bits outside of it, in so many pieces."""
+    out = []
+    for lo, hi in _cuts(segments):
+        rest = [b for b in range(BITS) if not lo <= b < hi]
+        out.append([_signed(sum(1 << b for b in rest[len(rest) * j // number : len(rest) * (j + 1) // number])) for j in range(number)])
+    return out
 
 
 def _search(fps: np.ndarray, bits: int, group: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,23 +147,38 @@ def links(nodes: DataFrame, max_bits: int = 4, segments: int = 3, block: int = 4
     """Links (a, b) between the distinct fingerprints in column fp, enough to join all that are linked."""
     if 2 * segments <= max_bits:
         raise ValueError("a pair could differ by two bits in every segment")
-    each = F.array(*(F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in _variants(segments)))
-    spread = nodes.repartition(partitions(nodes), "fp")
-    variants = spread.select("fp", F.inline(each)).select("fp", F.xxhash64("bit", "rest").alias("key"))
-    hot = variants.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    members = variants.join(hot, "key", "left")
+    each = F.array(*(F.struct(F.lit(i).alias("bit"), F.lit(k).alias("segment"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, k, m in _variants(segments)))
+    # Dealt by another key than that of the distinct fingerprints, which few tasks hold: each row becomes 64.
+    spread = nodes.repartition(partitions(nodes), F.xxhash64(F.lit(1), "fp"))
+    variants = spread.select("fp", F.inline(each)).select("fp", "segment", F.xxhash64("bit", "rest").alias("key"))
+    hot = stored(variants.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("key", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        buckets = variants.select("fp", F.col("key").alias("bucket"))
+    else:
+        marked = variants.join(hot, "key", "left")
+        buckets = marked.filter("hot IS NULL").select("fp", F.col("key").alias("bucket")).union(_split(marked.filter("hot"), max_bits, segments, block))
+    return buckets.repartition("bucket").mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
+
+
+def _split(members: DataFrame, max_bits: int, segments: int, block: int) -> DataFrame:
+    """fp and bucket, for members (fp, segment, key) of buckets beyond `block`.
+
+    Two linked members differ in at most max_bits of the bits outside their segment, so of max_bits + 1 pieces of
+    these they share one: a bucket becomes as many buckets for each piece as the piece has values. What is still
+    beyond `block`, as a dense group of near copies is, is dealt out in pairs of blocks.
+    """
+    pieces = F.array(*(F.array(*(F.lit(m) for m in masks)) for masks in _pieces(segments, max_bits + 1)))
+    own = F.transform(pieces[F.col("segment")], lambda m, j: F.xxhash64("key", j, F.col("fp").bitwiseAND(m)))
+    parts = stored(members.select("fp", F.explode(own).alias("key")))
+    large = parts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = parts.join(large, "key", "left").select("key", "fp", blocks.alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
 
     def pair(j: Column) -> Column:
         return F.xxhash64("key", F.least(F.col("own"), j), F.greatest(F.col("own"), j))
 
-    dealt = (
-        members.select("key", "fp", blocks.alias("blocks"))
-        .select("key", "fp", "blocks", own.alias("own"))
-        .select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("bucket"))
-    )
-    return dealt.repartition("bucket").mapInArrow(_bucket_links(max_bits), "a bigint, b bigint").distinct()
+    return dealt.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("bucket"))
 
 
 def _labels(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
@@ -249,6 +279,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = checkpointed(fingerprints(docs, doc_id, text, words))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = least.join(_labels(rows, max_bits, segments), "fp")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(ids, "root").select("fp", "component_id")
+    # A fingerprint without links is its own component. Of the others a root may have very many: they are salted.
+    alone = F.col("alone")
+    named = checkpointed(named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")))
+    sizes = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    ids = sizes.filter("n > 1").select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    labels = named.join(ids.withColumn("alone", F.lit(False)), ["root", "salt"], "left").select("fp", F.when(alone.isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

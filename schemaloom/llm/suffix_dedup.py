@@ -14,7 +14,8 @@ no second document:
 
 A run that repeats inside a chunk of documents is sent for the least id only, for the others are covered by it. So
 a passage of a third of all documents costs a row a chunk, not a row a document, and no pairs are made. Chunks hold
-a few megabytes, or one document if that is longer; every group that a task holds is the share of a partition.
+a few megabytes, or one document if that is longer, and are written once, so that a task that is run again finds the
+same ones. The number of parts follows the bytes of all texts, so a part has the same size at any scale.
 
 Texts: null is empty. A null id counts as greater than all others, and as equal to other nulls. Rows that repeat an
 id take nothing from each other. Documents under `length` bytes stay whole. Other columns are not read. An empty
@@ -34,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, stored
 
 LENGTH = 50
 GRAM = 16
 CHUNK = 4_000_000
+PART = 8_000_000
 BLOCK = 1 << 16
 LAST_ID = np.iinfo(np.int64).max
 # Odd multipliers that spread bits.
@@ -166,13 +168,20 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def _long(batches):
+    for batch in batches:
+        for chunk, blob in zip(batch["chunk"].to_pylist(), batch["blob"], strict=True):
+            yield chunk, blob.as_py()
+
+
 BLOBS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("blob", pa.binary())])
 BLOBS_SQL = "chunk bigint, part bigint, blob binary"
 
 
-def _send_digits(parts: int, size: int, length: int):
+def _send_digits(parts: int, length: int):
     def run(batches):
-        for chunk, c in _chunks(batches, size):
+        for chunk, blob in _long(batches):
+            c = Chunk(**_unpack(blob))
             key, many, cuts = _digits(runs(c.raw, c.edges, length), parts)
             six = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             rows = []
@@ -409,26 +418,30 @@ def _apply(key: tuple, chunks: pa.Table, spans: pa.Table) -> pa.Table:
     return _rows(RESULT, out)
 
 
-def dedup_passages(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (begin and end of each removed run, flat) and the bytes kept."""
+def dedup_passages(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (begin and end of each removed run, flat) and the bytes kept.
+
+    chunk: bytes of text that are read together. part: bytes of text whose digits are dealt to one part, about.
+    """
     if length < GRAM + 8:
         raise ValueError("too short for the first digit")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    parts = 2 * partitions(docs)
 
     def store(batches):
         for n, c in _chunks(batches, chunk):
-            yield from _rows(STORED, [(n, _pack(c.__dict__))]).to_batches()
+            yield from _rows(STORED, [(n, len(c.raw), _pack(c.__dict__))]).to_batches()
 
-    stored = rows.mapInArrow(store, "chunk bigint, blob binary")
-    digits = rows.mapInArrow(_send_digits(parts, chunk, length), BLOBS_SQL)
+    chunks = stored(rows.mapInArrow(store, "chunk bigint, bytes bigint, blob binary"))
+    parts = max(partitions(docs), -(-(chunks.agg(F.sum("bytes")).first()[0] or 0) // part))
+    chunks = chunks.select("chunk", "blob")
+    digits = chunks.mapInArrow(_send_digits(parts, length), BLOBS_SQL)
     replies = digits.groupBy("part").applyInArrow(_shared_digits, BLOBS_SQL)
-    sent = stored.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_runs(parts, length), BLOBS_SQL)
-    spans = sent.groupBy("part").applyInArrow(_match(length), BLOBS_SQL)
-    return stored.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_apply, RESULT_SQL)
+    sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_runs(parts, length), BLOBS_SQL)
+    spans = stored(sent.groupBy("part").applyInArrow(_match(length), BLOBS_SQL))
+    return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_apply, RESULT_SQL)
 
 
-STORED = pa.schema([("chunk", pa.int64()), ("blob", pa.binary())])
+STORED = pa.schema([("chunk", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())])
 
 
 def digests(found: DataFrame) -> DataFrame:

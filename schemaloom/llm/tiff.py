@@ -266,6 +266,10 @@ def pages(data: bytes) -> Iterator[Page]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
+#: Bytes that one stored byte can become at most: a run of 128 from two, a string of 4094 from a code of nine bits, and deflate's bound.
+MOST = {NONE: 1, PACKBITS: 64, LZW: 3640, DEFLATE: 1033, OLD_DEFLATE: 1033}
+
+
 def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int) -> Page:
     def one(name: str, default: int | None = None) -> int:
         if (v := fields.get(TAGS[name])) or default is not None:
@@ -288,6 +292,9 @@ def _page(data: bytes, fields: dict[int, tuple[int, ...]], index: int) -> Page:
     across, down = -(-width // w), -(-height // h)
     if len(offsets) != across * down or len(sizes) != len(offsets):
         raise ValueError("the number of strips or tiles is wrong")
+    most = sum(min(size, max(0, len(data) - place)) for place, size in zip(offsets, sizes, strict=True)) * MOST[compression]
+    if (across * w * down * h if tiled else width * height) * samples > most:
+        raise ValueError("more samples than the bytes of the image can hold")
     pixels = np.empty((height, width, samples), np.uint8)
     for k, (place, size) in enumerate(zip(offsets, sizes, strict=True)):
         y, x = k // across * h, k % across * w

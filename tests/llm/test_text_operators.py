@@ -1,6 +1,8 @@
 """Operators on texts against brute force."""
 
+import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -202,6 +204,47 @@ def test_pages_as_rows_and_damaged_files(spark):
     assert {r.doc_id for r in got if r.error} == {2, 3, 4, 5}
 
 
+def codes(values):
+    """LZW codes of nine bits, the highest bit first."""
+    bits = "".join(f"{v:09b}" for v in values)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def image(compression, stored, width, height, **claims):
+    """A file of one strip, written field by field."""
+    tags = {256: width, 257: height, 258: 8, 259: compression, 262: 1, 273: 8, 277: 1, 278: height, 279: len(stored), **claims}
+    body = struct.pack("<2sHI", b"II", 42, 8 + len(stored)) + stored + struct.pack("<H", len(tags))
+    return body + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items())) + struct.pack("<I", 0)
+
+
+def test_known_bytes_of_each_compression():
+    runs = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    (page,) = tiff.pages(image(tiff.PACKBITS, runs, 24, 1))
+    assert page.pixels.tobytes() == plain
+    (page,) = tiff.pages(image(tiff.LZW, codes([256, 7, 258, 8, 8, 258, 6, 6, 257]), 9, 1))
+    assert page.pixels.tobytes() == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    (page,) = tiff.pages(image(tiff.DEFLATE, zlib.compress(plain), 12, 2))
+    assert page.pixels.tobytes() == plain and (page.width, page.height) == (12, 2)
+    (page,) = tiff.pages(image(tiff.NONE, bytes([5, 1, 1, 255]), 4, 1, **{}))
+    assert page.pixels.tobytes() == bytes([5, 1, 1, 255])
+
+
+def test_a_small_file_that_claims_a_large_image(spark):
+    files = [image(tiff.DEFLATE, zlib.compress(b"x"), 2_000_000, 2_000_000), image(tiff.LZW, codes([256, 7, 257]), 2_000_000, 2_000_000)]
+    got = tiff.read(spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)], "doc_id long, media binary")).collect()
+    assert len(got) == 2 and all("more samples" in r.error for r in got)
+
+
+def test_the_query_stores_whole_texts(spark, data):
+    got = {r.doc_id: r for r in queries.op5_tiff_pages(spark, data).collect()}
+    for r in queries.table(spark, data, "documents").collect():
+        raw = (r.text or "").encode()
+        full = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        g = got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+
+
 # -- 6: classifier -------------------------------------------------------------------------------------------------
 
 
@@ -277,6 +320,40 @@ def test_buckets_in_blocks_lose_no_link(spark):
     assert groups(4) == groups(10_000) and len({r for _, r in groups(4)}) == 3
 
 
+@pytest.mark.parametrize("block", [4, 30, 4096])
+def test_large_buckets_lose_no_link(spark, block):
+    """Near copies of a few fingerprints, so that buckets are dense, and buckets beyond the block are split."""
+    rng = random.Random(block)
+    seeds = [rng.getrandbits(64) for _ in range(4)]
+    fps = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3, 4, 6]))) for s in seeds for _ in range(60)})
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                root[find(a)] = find(b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(nodes, 4, 3, block).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    mine = {f: f for f in fps}
+
+    def least(x):
+        while mine[x] != x:
+            x = mine[x]
+        return x
+
+    for a, b in found:
+        mine[least(a)] = least(b)
+    groups = lambda f: {frozenset(x for x in fps if f(x) == r) for r in map(f, fps)}
+    assert groups(least) == groups(find)
+
+
 # -- 9: passages ---------------------------------------------------------------------------------------------------
 
 
