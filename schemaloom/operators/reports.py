@@ -48,9 +48,10 @@ def pass_rate(df: DataFrame, *by: str, name: str = "pass_rate") -> DataFrame:
 def classify(df: DataFrame, expected: DataFrame, config_rows: int = 100_000) -> DataFrame:
     """Adds the classification: verdicts seen against a table (name, stage) of expected failures.
 
-    The table is broadcast if it is counted to be small; otherwise both are joined by name.
+    A name that is expected more than once counts once, with the least of its stages. The table is broadcast if it is
+    counted to be small; otherwise both are joined by name.
     """
-    known = expected.select(F.col("name").alias("__n"), F.col("stage").alias("__s"), F.lit(True).alias("__known"))
+    known = expected.groupBy(F.col("name").alias("__n")).agg(F.min("stage").alias("__s")).withColumn("__known", F.lit(True))
     if known.limit(config_rows + 1).count() <= config_rows:
         known = F.broadcast(known)
     joined = df.join(known, base_name(F.col("file")) == F.col("__n"), "left")

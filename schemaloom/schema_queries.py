@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import schemas
+from .operators import names, schemas
 from .operators.providers import WIRES, Endpoint
 
 
@@ -225,3 +225,15 @@ def provider_request_generate(spark, sf_dir):
 @query(_ASKED)
 def provider_request_responses(spark, sf_dir):
     return _asked(spark, sf_dir, "responses", "$.input", "$.text.format.schema")
+
+
+@query("""SELECT p_partkey::BIGINT AS name, array_to_string(list_transform(w, lambda x: upper(x[1]) || x[2:]), '') AS class_name, upper(array_to_string(w, '_')) AS enum_name, array_to_string(w, '_') AS module_name,
+    w[1] || array_to_string(list_transform(w[2:], lambda x: upper(x[1]) || x[2:]), '') AS camel
+  FROM (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part)""")
+def name_forms(spark, sf_dir):
+    """Names of parts as identifiers, from names with blanks, hyphens or capitals inside."""
+    found = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    made = F.when(key() % 3 == 0, names.cased(names.words(names.sanitised(F.col("p_name"))), "upper_camel")).when(key() % 3 == 1, F.translate("p_name", " ", "-")).otherwise(F.col("p_name"))
+    w = names.words(names.sanitised(made))
+    forms = {"class_name": "upper_camel", "enum_name": "shouty", "module_name": "snake", "camel": "lower_camel"}
+    return found.select(key().cast("bigint").alias("name"), *(names.cased(w, f).alias(c) for c, f in forms.items()))

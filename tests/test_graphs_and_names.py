@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom.functions.register import register
-from schemaloom.operators import reports, schemas
+from schemaloom.operators import names, reports, schemas
 from schemaloom.operators.rehydrate import rehydrate
 from schemaloom.plans.codec import Codec
 from schemaloom.plans.errors import DepthExceeded
@@ -91,3 +91,21 @@ def test_all_components_as_a_function(spark):
     got = spark.createDataFrame([(schema, None), (None, None)], "s string, o string").select(F.expr("convert_all_components(s, o)").alias("c")).collect()
     found = json.loads(got[0].c)
     assert [c["pointer"] for c in found["components"]] == ["#/$defs/A"] and "schema" in found["full"] and got[1].c is None
+
+
+def test_identifiers(spark):
+    cases = {
+        "userProfile": ("UserProfile", "USER_PROFILE", "user_profile", "userProfile"), "HTTPServer": ("HttpServer", "HTTP_SERVER", "http_server", "httpServer"),
+        "a-b c": ("ABC", "A_B_C", "a_b_c", "aBC"), "2nd": ("2nd", "2ND", "2nd", "2nd"), "": ("Empty", "EMPTY", "empty", "empty"),
+        "XMLHttp2Request": ("XmlHttp2Request", "XML_HTTP2_REQUEST", "xml_http2_request", "xmlHttp2Request"), "A1Bc": ("A1Bc", "A1_BC", "a1_bc", "a1Bc"),
+        "user_profile": ("UserProfile_2", "USER_PROFILE_2", "user_profile_2", "userProfile_2"),
+    }
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(cases)], "i int, name string")
+    got = {r.name: tuple(r[c] for c in names.FORMS) for r in names.resolved(df, "name", "i").collect()}
+    assert got == cases
+
+
+def test_a_name_expected_twice_counts_once(spark):
+    runs = spark.createDataFrame([("a.json", "solid_fail", [(False, "s1", None, None)])], f"file string, verdict string, attempts array<{reports.ATTEMPT}>")
+    twice = spark.createDataFrame([("a", "s2"), ("a", "s1")], "name string, stage string")
+    assert [r.classification for r in reports.classify(runs, twice).collect()] == [reports.EXPECTED]
