@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
+
 #: The white space between words: blank and bytes 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 #: Words are runs of anything else.
@@ -21,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir).
-
-    Only where none is set and all runs on this machine, as in tests, a temporary one is made; a cluster must name one.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="schemaloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 #: Spark's own switch: what a plan has shuffled goes when its execution ends.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

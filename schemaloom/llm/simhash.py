@@ -31,6 +31,8 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this size are compared side by side, larger ones searched.
 SMALL = 16
+#: Turns in which sharers of a key are compared with two of them, while there are more open pairs than so many a member.
+TURNS, SPARSE = 8, 4
 #: Parts of a component's rows.
 SALTS = 16
 #: MinHash of the pipeline's stage: bands, and functions in each.
@@ -248,11 +250,13 @@ def _sets(texts: DataFrame, words: int, keys=None) -> DataFrame:
 def _verified_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of at least that similarity between nodes, enough to join all that such links among sharers of a key join.
 
-    First all members of a key are compared with its least and its greatest node, which joins a dense group of n near
-    copies by n comparisons a key. Then, of the other members of a key, all pairs that are not joined by now.
+    In each turn the members of a key are compared with two of them, drawn by a hash of node, key and turn, unless
+    they are joined already: a dense group of n near copies is joined by n comparisons a key, for each member meets
+    other partners under each of its keys. Turns go on while many pairs are open. What is open then, members of a key
+    that no link joins so far, is compared pair by pair, so that no link is lost.
     """
     variants = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stored(variants.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi"))
+    shared = stored(variants.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"))
     members = stored(may_hold(variants, "key", key_filter(shared, "key")).filter("__may").drop("__may").join(shared, "key"))
     ours = nodes.select("node", "k").join(members.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("k.last", "k.d", "k.t").alias("key"))
     ours = stored(ours)
@@ -265,13 +269,22 @@ def _verified_links(nodes: DataFrame, texts: DataFrame, words: int, similarity:
         common = F.size(F.array_intersect("x", "y"))
         return checkpointed(both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j")).filter(F.col("j") >= similarity).select("a", "b"))
 
-    first = verified(members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).filter("a <> b"))
-    rest = members.filter("node <> lo and node <> hi").select("key", "node")
-    labelled = stored(rest.join(connected_components(first), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = labelled.join(apart, "key")
+    found, open_ = None, members.withColumn("label", F.col("node"))
+    for turn in range(TURNS):
+        drawn, one = F.xxhash64("node", "key", F.lit(turn)), F.struct("node", "label")
+        ends = open_.groupBy("key").agg(F.array(F.min_by(one, drawn), F.max_by(one, drawn)).alias("ends"))
+        met = open_.join(ends, "key").select(F.col("node").alias("a"), "label", F.explode("ends").alias("p"))
+        new = verified(met.filter("label <> p.label").select("a", F.col("p.node").alias("b")))
+        found = new if found is None else found.union(new)
+        labelled = stored(members.join(connected_components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
+        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
+        keys = sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs")).filter("pairs > 0")
+        open_ = stored(labelled.join(keys.select("key"), "key"))
+        pairs, rows = keys.agg(F.sum("pairs"), F.sum("n")).first()
+        if not pairs or pairs <= SPARSE * rows:
+            break
     x, y = (open_.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
-    return first.union(verified(x.join(y, "key").filter("a < b and label_a <> label_b").select("a", "b")))
+    return found.union(verified(x.join(y, "key").filter("a < b and label_a <> label_b").select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:

@@ -60,3 +60,31 @@ def test_one_stays_of_each_component_by_brute_force(spark):
     want = {min(i for i, r in enumerate(root) if r == x) for x in set(root)}
     assert links > 200 and 15 < len(want) < len(texts) - 50
     assert kept(spark, list(enumerate(texts))) == want
+
+
+def test_a_large_group_of_near_copies_makes_no_pairs(spark):
+    """Copies that differ from a base at many places: many pairs of copies are under the similarity, all are one group."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    given = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9000)}"
+        given.append((i + 10, " ".join(words)))
+    given.append((1, " ".join(f"o{rng.randrange(4000)}" for _ in range(150))))
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    sets = {d: frozenset(simhash.shingles(t, 5).tolist()) for d, t in given}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert sorted(r.doc_id for r in simhash.representatives(df).collect()) == sorted(d for d in root if root[d] == d)
