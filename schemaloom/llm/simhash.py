@@ -10,6 +10,9 @@ n comparisons and gives n - 1 links, never all pairs. Buckets beyond `block` fin
 bits outside their segment, and what is still larger is dealt out in pairs of blocks, so that no task holds a bucket
 of unbounded size, and no link is lost.
 
+The pipeline's stage (`representatives`) verifies such links on the sets of shingles, and compares what else shares a
+band of MinHash by a search inside each key, to which every member brings its set once: no pair of members is a row.
+
 Texts: null is empty. Without a word the fingerprint is zero, and is linked like any other. A null id can't be the
 least id of a component: a component of null ids only has a null id. Repeated rows give repeated rows. Other
 columns are not read. An empty table gives an empty result.
@@ -31,8 +34,10 @@ from .components import connected_components
 BITS = 64
 #: Buckets up to this size are compared side by side, larger ones searched.
 SMALL = 16
-#: Turns in which sharers of a key are compared with two of them, while there are more open pairs than so many a member.
-TURNS, SPARSE = 8, 4
+#: Sharers of a key that are searched as they are; beyond that they meet by the rarest members of their sets.
+LARGE = 2048
+#: Places of the table of frequencies that tells which members are rare.
+PLACES = 1 << 18
 #: Parts of a component's rows.
 SALTS = 16
 #: MinHash of the pipeline's stage: bands, and functions in each.
@@ -190,12 +195,17 @@ def _labels(rows: DataFrame, max_bits: int, segments: int) -> DataFrame:
     return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, words: int = 5,
+    max_bits: int = 7, segments: int = 4, bands: int = BANDS, rows: int = ROWS, block: int = LARGE,
+) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the least id stays, a null id last.
 
     Two documents are linked if the Jaccard similarity of their sets of shingles is at least `similarity`, which is
-    computed from the sets; documents with equal sets are one node. Candidates are sets that agree in a band of their
-    MinHash, as a pair of similarity s does with probability 1 - (1 - s ** rows) ** bands: all but 8 in 100,000 at 0.8.
+    computed from the sets; documents with equal sets are one node. Links are found by the fingerprints of the sets, as
+    `links` finds them, up to `max_bits`, and verified. At 0.8 two fingerprints differ by 10 bits on average, so these
+    are not all: sets that agree in a band of their MinHash, as a pair of similarity s does with probability
+    1 - (1 - s ** rows) ** bands, all but 8 in 100,000 at 0.8, are compared too, unless fingerprints have linked them.
 
     Rows that repeat id and text count as one and only one of them stays; of rows that repeat the least id only, the one
     with the least hash of its text.
@@ -207,8 +217,8 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.xxhash64("k.last", "k.d", "k.t")
     texts = packed.select("k", key.alias("key"), F.col(f"row.`{text}`").alias("text"))
     marked = _sets(texts, words, lambda found: band_keys(found, bands, rows))
-    nodes = stored(marked.groupBy("node").agg(F.min("k").alias("k"), F.first("keys").alias("keys")))
-    roots = connected_components(_verified_links(nodes, texts, words, similarity))
+    nodes = stored(marked.groupBy("node").agg(F.min("k").alias("k"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    roots = connected_components(_verified_links(nodes, texts, words, similarity, max_bits, segments, block))
     labels = nodes.select("node", "k").join(roots, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     kept = labels.groupBy("root").agg(F.min("k").alias("kept")).select(F.col("kept.last").alias("l0"), F.col("kept.d").alias("d0"), F.col("kept.t").alias("t0"), F.xxhash64("kept.last", "kept.d", "kept.t").alias("key0"))
     same = (F.col("key") == F.col("key0")) & F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")) & (F.col("last") == F.col("l0"))
@@ -230,61 +240,168 @@ def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: in
 
 
 def _sets(texts: DataFrame, words: int, keys=None) -> DataFrame:
-    """k, node (a hash of the set of shingles) and keys, from k and text; or node and the set, if no keys are given."""
+    """k, node (a hash of the set of shingles), fp (its fingerprint) and keys, from k and text; or node and the set, if no keys are given."""
     flat = texts.select("k.last", "k.d", "k.t", "text")
 
     def run(batches):
         for batch in batches:
-            node, values = [], []
+            node, fp, values = [], [], []
             for t in batch["text"]:
                 one = np.unique(shingles(t.as_py(), words))
                 node.append(xxhash.xxh64_intdigest(one.tobytes()))
+                fp.append(simhash(one) if keys else 0)
                 values.append(np.array(keys(one) if keys else one, np.uint64).view(np.int64))
-            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(values, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("last", "d", "t")), *columns], names=["last", "d", "t", "node", "values"])
-
-    out = flat.mapInArrow(run, "last boolean, d bigint, t bigint, node bigint, values array<bigint>")
-    return out.select(F.struct("last", "d", "t").alias("k"), "node", F.col("values").alias("keys")) if keys else out.select("node", F.col("values").alias("set"))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)] + [pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in ("last", "d", "t")), *columns], names=["last", "d", "t", "node", "fp", "values"])
 
+    out = flat.mapInArrow(run, "last boolean, d bigint, t bigint, node bigint, fp bigint, values array<bigint>")
+    return out.select(F.struct("last", "d", "t").alias("k"), "node", "fp", F.col("values").alias("keys")) if keys else out.select("node", F.col("values").alias("set"))
 
-def _verified_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of at least that similarity between nodes, enough to join all that such links among sharers of a key join.
 
-    In each turn the members of a key are compared with two of them, drawn by a hash of node, key and turn, unless
-    they are joined already: a dense group of n near copies is joined by n comparisons a key, for each member meets
-    other partners under each of its keys. Turns go on while many pairs are open. What is open then, members of a key
-    that no link joins so far, is compared pair by pair, so that no link is lost.
-    """
+def _verified_links(nodes: DataFrame, texts: DataFrame, words: int, similarity: float, max_bits: int, segments: int, block: int) -> DataFrame:
+    """Links (a, b) of at least that similarity between nodes: those found by fingerprints, and enough to join all that links among sharers of a key join."""
+    # Nodes of one fingerprint meet the least of them; it stands for them in links of fingerprints.
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    near = links(nodes.select("fp").distinct(), max_bits, segments).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = nodes.select("node", "fp").join(least, "fp").filter("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    pairs = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select("x", "y")))
     variants = nodes.select("node", F.explode("keys").alias("key"))
-    shared = stored(variants.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key"))
+    # Keys of the same members are one key.
+    sizes = variants.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    shared = stored(sizes.filter("lo <> hi").groupBy("lo", "hi", "n", "all").agg(F.min("key").alias("key")).select("key", "n"))
     members = stored(may_hold(variants, "key", key_filter(shared, "key")).filter("__may").drop("__may").join(shared, "key"))
-    ours = nodes.select("node", "k").join(members.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("k.last", "k.d", "k.t").alias("key"))
-    ours = stored(ours)
+    used = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    ours = stored(nodes.select("node", "k").join(used, "node", "left_semi").select("node", F.xxhash64("k.last", "k.d", "k.t").alias("key")))
     read = may_hold(texts, "key", key_filter(ours, "key")).filter("__may")
     sets = stored(_sets(read, words).join(ours.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return checkpointed(both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j")).filter(F.col("j") >= similarity).select("a", "b"))
-
-    found, open_ = None, members.withColumn("label", F.col("node"))
-    for turn in range(TURNS):
-        drawn, one = F.xxhash64("node", "key", F.lit(turn)), F.struct("node", "label")
-        ends = open_.groupBy("key").agg(F.array(F.min_by(one, drawn), F.max_by(one, drawn)).alias("ends"))
-        met = open_.join(ends, "key").select(F.col("node").alias("a"), "label", F.explode("ends").alias("p"))
-        new = verified(met.filter("label <> p.label").select("a", F.col("p.node").alias("b")))
-        found = new if found is None else found.union(new)
-        labelled = stored(members.join(connected_components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("label")))
-        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("joined"))
-        keys = sizes.select("key", "n", ((F.col("n") * F.col("n") - F.col("joined")) / 2).alias("pairs")).filter("pairs > 0")
-        open_ = stored(labelled.join(keys.select("key"), "key"))
-        pairs, rows = keys.agg(F.sum("pairs"), F.sum("n")).first()
-        if not pairs or pairs <= SPARSE * rows:
-            break
-    x, y = (open_.select("key", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in "ab")
-    return found.union(verified(x.join(y, "key").filter("a < b and label_a <> label_b").select("a", "b")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    found = checkpointed(both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j")).filter(F.col("j") >= similarity).select("a", "b"))
+
+    # Nodes of one label are joined: each is linked to it or is it.
+    labels = found.select(F.col("b").alias("node"), F.col("a").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
+    hot = members.filter(F.col("n") > block)
+    if hot.isEmpty():
+        buckets = _open(_labelled(members.select("node", F.col("key").alias("bucket")), labels))
+    else:
+        labels = checkpointed(connected_components(found).select("node", F.col("root").alias("label")))
+        few = _labelled(members.filter(F.col("n") <= block).select("node", F.col("key").alias("bucket")), labels)
+        buckets = _open(few).union(_by_prefixes(hot.select("node").distinct(), sets, labels, similarity, block))
+    return found.union(_searched(buckets, sets, similarity))
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (bucket, node, label) of buckets with more than one label."""
+    labels = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return members.join(labels.filter("lo <> hi").select("bucket"), "bucket", "left_semi")
+
+
+def _prefix(found: np.ndarray, seen: np.ndarray, similarity: float) -> np.ndarray:
+    """The hashes of a set that come first by frequency: two sets of that similarity have one of these in common."""
+    keep = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+    return found[np.lexsort((found, seen[found & (len(seen) - 1)]))[:keep]]
+
+
+def _by_prefixes(nodes: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, block: int) -> DataFrame:
+    """bucket, node and label, for nodes that share keys with very many.
+
+    Sets of that similarity share one of their rarest hashes, and those of a large group that are not similar differ in
+    these. Any order of the hashes is right; theirs comes from a table of bounded size. A bucket that is large even so
+    and is not joined yet is dealt out in pairs of blocks.
+    """
+    ours = stored(sets.join(nodes, "node", "left_semi"))
+    places = ours.select(F.explode("set").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(PLACES - 1)).alias("place")).agg(F.count("*").alias("n"))
+    seen = np.zeros(PLACES, np.int64)
+    for place, n in places.collect():  # at most PLACES rows
+        seen[place] = n
+
+    def run(batches):
+        for batch in batches:
+            first = [_prefix(s.values.to_numpy(), seen, similarity) for s in batch["set"]]
+            node = np.repeat(batch["node"].to_numpy(), [len(x) for x in first])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *first]))], names=["node", "bucket"])
+
+    members = stored(_open(_labelled(ours.mapInArrow(run, "node bigint, bucket bigint"), labels)))
+    large = members.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    dealt = members.join(large, "bucket", "left").select("bucket", "node", "label", blocks.alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def pair(j: Column) -> Column:
+        return F.xxhash64("bucket", F.least(F.col("own"), j), F.greatest(F.col("own"), j))
+
+    return dealt.select("node", "label", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("bucket")).select("bucket", "node", "label")
+
+
+def _similar(label: np.ndarray, values: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of at least that similarity that join all members that such links join; members of a label are joined already.
+
+    values: the sets, one after another. What a search has reached is not compared again but with what it has not.
+    """
+    _, ids = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(ids), bool)
+    begin = np.cumsum(size) - size
+    left, links = np.arange(len(size)), []
+    here, tokens, starts = left, ids, begin  # the members whose hashes are at hand: at least half of them are left
+    while len(left):
+        first = label[left] == label[left[0]]
+        frontier, left = left[first].tolist(), left[~first]
+        while frontier and len(left):
+            if 2 * len(left) < len(here):
+                here = left
+                tokens, starts = np.concatenate([ids[begin[i] : begin[i] + size[i]] for i in here.tolist()]), np.cumsum(size[here]) - size[here]
+            one = frontier.pop()
+            own = ids[begin[one] : begin[one] + size[one]]
+            mark[own] = True
+            common = np.add.reduceat(mark[tokens], starts, dtype=np.int64)[np.searchsorted(here, left)]
+            mark[own] = False
+            near = left[common / (size[one] + size[left] - common) >= similarity]
+            if len(near):
+                reached, at = np.unique(label[near], return_index=True)
+                links += [(one, i) for i in near[at].tolist()]
+                new = np.isin(label[left], reached)
+                frontier, left = frontier + left[new].tolist(), left[~new]
+    return links
+
+
+def _searched(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) inside buckets, from bucket, node and label. No pair of members is a row: each brings its set once."""
+
+    def search(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        node, label, size = (t[n].to_numpy() for n in ("node", "label", "size"))
+        got = np.array(_similar(label, t["set"].combine_chunks().flatten().to_numpy(), size, similarity), np.int64).reshape(-1, 2)
+        return node[got[:, 0]], node[got[:, 1]]
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            links = []
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e > s:
+                    if held and bucket[s] != at:
+                        links.append(search(held))
+                        held = []
+                    held.append(batch.slice(s, e - s))
+                    at = bucket[s]
+            if links:
+                yield _pairs(links)
+        if held:
+            yield _pairs([search(held)])
+
+    rows = members.join(sets.select("node", "set", F.size("set").cast("bigint").alias("size")), "node").select("bucket", "node", "label", "size", "set")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _pairs(links: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in links]), pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 4, words: int = 4, segments: int = 3) -> DataFrame:
