@@ -1,4 +1,8 @@
-"""Tables of schemas: conversion, audit and components, a schema a row. Planning is Python, batch by batch in Arrow."""
+"""Tables of schemas: conversion, audit and components, a schema a row. Planning is Python, batch by batch in Arrow.
+
+It takes up to milliseconds a schema, so a small file of many schemas is first spread over the cores, and a worker
+keeps what it made of a text (`memo`).
+"""
 
 from __future__ import annotations
 
@@ -16,11 +20,21 @@ from ..plans.describe import text_of
 from ..plans.errors import DepthExceeded, PlanError
 from ..plans.options import Options
 from ..plans.tree import ordered
+from . import memo
 from .lineage import checkpointed
 
 
-def _each(df: DataFrame, schema: str, key: str, columns: list[str], rows) -> DataFrame:
-    """Rows of a function of one schema's text, after its key. A schema that can't be planned gives its error."""
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly over as many tasks as a shuffle has. A table's bytes don't tell what its planning takes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def _each(df: DataFrame, schema: str, key: str, columns: list[str], rows, made) -> DataFrame:
+    """Rows of a function of one schema's text, after its key. A schema that can't be planned gives its error.
+
+    made names the function and its options: equal texts have equal rows under equal names.
+    """
     kind = df.schema[key].dataType
     ddl = ", ".join([f"{key} {kind.simpleString()}", *(f"{c}" for c in columns)])
     names = [key, *(c.split(" ")[0] for c in columns)]
@@ -31,12 +45,12 @@ def _each(df: DataFrame, schema: str, key: str, columns: list[str], rows) -> Dat
             out: list[tuple] = []
             for k, text in zip(batch[key].to_pylist(), batch[schema].to_pylist(), strict=True):
                 if text is not None:
-                    out += [(k, *r) for r in rows(text)]
+                    out += [(k, *r) for r in memo.rows_of(made, text, rows)]
             arrays = [pa.array([r[0] for r in out], batch.schema.field(key).type)]
             arrays += [pa.array([r[i + 1] for r in out], types[c.split(" ")[1]]) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.select(key, schema).mapInArrow(run, ddl)
+    return spread(df.select(key, schema)).mapInArrow(run, ddl)
 
 
 def converted(df: DataFrame, options: dict | Options | None = None, schema: str = "schema", key: str = "name") -> DataFrame:
@@ -50,21 +64,21 @@ def converted(df: DataFrame, options: dict | Options | None = None, schema: str
             return [(None, None, None, 0, text_of(e.as_dict()))]
         return [(text_of(plan.schema), text_of(plan.codec.as_dict()), text_of(plan.errors), len(plan.codec.transforms), None)]
 
-    return _each(df, schema, key, ["converted string", "codec string", "diagnostics string", "n_transforms int", "error string"], rows)
+    return _each(df, schema, key, ["converted string", "codec string", "diagnostics string", "n_transforms int", "error string"], rows, ("converted", options))
 
 
 def audited(df: DataFrame, schema: str = "schema", key: str = "name") -> DataFrame:
     """key, path, rule_id, message of each violation."""
-    return _each(df, schema, key, ["path string", "rule_id string", "message string"], lambda text: violations(parsed(text)))
+    return _each(df, schema, key, ["path string", "rule_id string", "message string"], lambda text: violations(parsed(text)), "audited")
 
 
 def components(df: DataFrame, schema: str = "schema", key: str = "name") -> DataFrame:
-    return _each(df, schema, key, ["pointer string"], lambda text: [(p,) for p in list_components(text)])
+    return _each(df, schema, key, ["pointer string"], lambda text: [(p,) for p in list_components(text)], "components")
 
 
 def references(df: DataFrame, schema: str = "schema", key: str = "name") -> DataFrame:
     """key, src, dst: which component refers to which."""
-    return _each(df, schema, key, ["src string", "dst string"], lambda text: Graph(ordered(parsed(text))).edges())
+    return _each(df, schema, key, ["src string", "dst string"], lambda text: Graph(ordered(parsed(text))).edges(), "references")
 
 
 def extracted(df: DataFrame, pointer: str, schema: str = "schema", key: str = "name") -> DataFrame:
@@ -75,7 +89,7 @@ def extracted(df: DataFrame, pointer: str, schema: str = "schema", key: str = "n
             return [(pointer, None, 0, None, text_of(e.as_dict()))]
         return [(pointer, text_of(got.schema), got.dependency_count, json.dumps(got.missing_refs), None)]
 
-    return _each(df, schema, key, ["pointer string", "component string", "dependency_count int", "missing_refs string", "error string"], rows)
+    return _each(df, schema, key, ["pointer string", "component string", "dependency_count int", "missing_refs string", "error string"], rows, ("extracted", pointer))
 
 
 def converted_components(df: DataFrame, options: dict | Options | None = None, schema: str = "schema", key: str = "name") -> DataFrame:
@@ -95,7 +109,7 @@ def converted_components(df: DataFrame, options: dict | Options | None = None, s
                 out.append((c.pointer, text_of(c.plan.schema), text_of(c.plan.codec.as_dict()), text_of(c.extract.schema), c.extract.dependency_count, None))
         return out
 
-    return _each(df, schema, key, ["pointer string", "converted string", "codec string", "original string", "dependency_count int", "error string"], rows)
+    return _each(df, schema, key, ["pointer string", "converted string", "codec string", "original string", "dependency_count int", "error string"], rows, ("converted_components", options))
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def escape(segment: str) -> str:
-    return segment.replace("~", "~0").replace("/", "~1")
+    return segment.replace("~", "~0").replace("/", "~1") if "~" in segment or "/" in segment else segment
 
 
 def unescape(segment: str) -> str:
@@ -12,7 +12,7 @@ def unescape(segment: str) -> str:
 
 
 def join(parent: str, *segments: str | int) -> str:
-    return "".join([parent, *("/" + escape(str(s)) for s in segments)])
+    return "/".join([parent, *[escape(str(s)) for s in segments]])
 
 
 def split(path: str) -> list[str]:

@@ -50,13 +50,21 @@ TRANSFORMS = "array<struct<type string, path string>>"
 DROPPED = "array<struct<path string, constraint string, value string>>"
 
 
+def listed_transforms() -> Column:
+    return F.from_json(F.get_json_object("codec", "$.transforms"), TRANSFORMS)
+
+
+def listed_dropped() -> Column:
+    return F.from_json(F.get_json_object("codec", "$.droppedConstraints"), DROPPED)
+
+
 def transforms(df: DataFrame) -> DataFrame:
     """name, type and path of each transform."""
-    return df.select("name", F.inline(F.from_json(F.get_json_object("codec", "$.transforms"), TRANSFORMS)))
+    return df.select("name", F.inline(listed_transforms()))
 
 
 def dropped(df: DataFrame) -> DataFrame:
-    return df.select("name", F.inline(F.from_json(F.get_json_object("codec", "$.droppedConstraints"), DROPPED)))
+    return df.select("name", F.inline(listed_dropped()))
 
 
 def of(path: str, column: str = "converted") -> Column:
@@ -116,10 +124,9 @@ def schema_depth(spark, sf_dir):
     """Schemas of one to eight levels: beyond the budget of a strict target a string stands for the rest."""
     depth = (1 + key() % 8).cast("int")
     schema = F.concat(F.repeat(F.lit('{"type":"object","required":["a"],"properties":{"a":'), depth), F.lit('{"type":"string"}'), F.repeat(F.lit("}}"), depth))
-    df = planned(spark, sf_dir, schema)
-    cut = transforms(df).groupBy("name").agg(F.max("path").alias("path"), F.count("*").cast("int").alias("cut"))
+    found = planned(spark, sf_dir, schema).select("name", listed_transforms().alias("found"))
     levels = (F.col("name") % 8 + 1).alias("depth")
-    return df.select("name", levels).join(cut, "name", "left").select("name", "depth", F.coalesce("cut", F.lit(0)).alias("cut"), "path")
+    return found.select("name", levels, F.coalesce(F.array_size("found"), F.lit(0)).alias("cut"), F.array_max("found.path").alias("path"))
 
 
 @query("""SELECT p_partkey::BIGINT AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'result' END AS wrapper, CASE p_partkey % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'array' ELSE 'string' END AS kind FROM part""")
