@@ -9,6 +9,7 @@ from schemaloom import catalogue
 from schemaloom.operators import memo, schemas
 
 PLANNED_ONCE = ["schema_depth"]
+SPREAD = ["schema_depth", "schema_unions"]
 
 
 def test_schemas_of_one_file_are_planned_by_several_tasks(spark):
@@ -23,6 +24,12 @@ def test_a_query_plans_its_schemas_once(spark, data, name):
     assert len(re.findall("MapInArrow", plan)) == 1
 
 
+@pytest.mark.parametrize("name", SPREAD)
+def test_a_query_spreads_its_schemas_before_it_plans_them(spark, data, name):
+    plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"MapInArrow[^\n]*\n[^\n]*Exchange RoundRobinPartitioning\(4\)", plan)
+
+
 def test_a_text_that_repeats_is_planned_once():
     made, kept = [], memo.Memo()
     make = lambda text: made.append(text) or [(text.upper(), None, 1)]
