@@ -9,7 +9,7 @@ from schemaloom import catalogue
 from schemaloom.operators import memo, schemas
 
 PLANNED_ONCE = ["schema_depth"]
-SPREAD = ["schema_depth", "schema_unions"]
+SPREAD = ["schema_depth", "schema_unions", "schema_transforms"]
 
 
 def test_schemas_of_one_file_are_planned_by_several_tasks(spark):
