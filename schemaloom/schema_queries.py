@@ -203,8 +203,8 @@ def schema_more_members(spark, sf_dir):
     """Named members beside free ones: the free ones move to a member of their own, which is a nullable map."""
     more = F.when(size() % 2 == 0, F.lit(',"additionalProperties":{"type":"integer"}')).otherwise(F.lit(',"additionalProperties":false'))
     df = planned(spark, sf_dir, text('{"type":"object","properties":{"a":{"type":"string"}},"required":["a"]', more, "}"))
-    found = transforms(df).groupBy("name").agg(F.count("*").cast("int").alias("n"), F.max("path").alias("path"))
-    return df.select("name").join(found, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), "path")
+    found = df.select("name", listed_transforms().alias("found"))
+    return found.select("name", F.coalesce(F.array_size("found"), F.lit(0)).alias("n"), F.array_max("found.path").alias("path"))
 
 
 def _asked(spark, sf_dir: str, wire: str, prompt: str, schema: str) -> DataFrame:
