@@ -145,8 +145,8 @@ def schema_references_and_constants(spark, sf_dir):
     word = F.when(size() % 2 == 0, "$defs").otherwise("definitions")
     schema = text('{"type":"object","required":["t","c"],"properties":{"t":{"$ref":"#/', word, '/T"},"c":{"const":"', F.col("p_brand"), '"}},"', word, '":{"T":{"type":"', kind, '"}}}')
     df = planned(spark, sf_dir, schema)
-    value = dropped(df).filter("constraint = 'const'").select("name", "value")
-    return df.select("name", of("$.properties.t.type").alias("kind"), of("$.properties.c.enum").alias("listed")).join(value, "name")
+    constants = F.filter(listed_dropped(), lambda d: d["constraint"] == "const")
+    return df.select("name", of("$.properties.t.type").alias("kind"), of("$.properties.c.enum").alias("listed"), F.get(constants, F.lit(0))["value"].alias("value"))
 
 
 @query("""SELECT p_partkey::BIGINT AS name, (2 + p_partkey % 3)::BIGINT AS branches, (1 + p_size % 3)::BIGINT AS kinds FROM part""")
