@@ -98,8 +98,9 @@ def schema_all_of_bounds(spark, sf_dir):
     """Bounds and types of all branches are intersected, then recorded as dropped."""
     n = text('{"allOf":[{"type":"number","minimum":', size(), '},{"type":"integer","minimum":', key() % 30, ',"maximum":', 60 + key() % 17, '}],"maximum":', 60 + size() % 13, "}")
     df = planned(spark, sf_dir, members((None, n)))
-    bound = lambda word: F.max(F.when(F.col("constraint") == word, F.col("value").cast("bigint"))).alias(word)
-    return dropped(df).groupBy("name").agg(bound("minimum"), bound("maximum")).join(df.select("name", of("$.properties.f0.type").alias("kind")), "name")
+    found = df.select("name", listed_dropped().alias("found"), of("$.properties.f0.type").alias("kind"))
+    bound = lambda word: F.array_max(F.transform(F.filter("found", lambda d: d["constraint"] == word), lambda d: d["value"].cast("bigint"))).alias(word)
+    return found.select("name", bound("minimum"), bound("maximum"), "kind")
 
 
 @query("""SELECT p_partkey::BIGINT AS name, type, count(*) AS n FROM part, LATERAL (SELECT unnest(
