@@ -9,7 +9,7 @@ from schemaloom import catalogue
 from schemaloom.operators import memo, schemas
 
 PLANNED_ONCE = ["schema_depth", "schema_more_members", "schema_references_and_constants", "schema_all_of_bounds"]
-SPREAD = ["schema_depth", "schema_unions", "schema_transforms", "schema_more_members", "schema_references_and_constants", "schema_optional_members", "schema_all_of_bounds", "schema_dropped_bounds"]
+SPREAD = ["schema_depth", "schema_unions", "schema_transforms", "schema_more_members", "schema_references_and_constants", "schema_optional_members", "schema_all_of_bounds", "schema_dropped_bounds", "schema_roots"]
 
 
 def test_schemas_of_one_file_are_planned_by_several_tasks(spark):
